@@ -16,6 +16,7 @@ The two tables of counts are then united.  Which way a term takes never changes
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,7 +211,7 @@ def term_marks(
     )
     # One row for each field of the mapping: far below any limit for a broadcast, which Spark checks by size.
     counts = term_counts(token_entries, heavy_parts).join(per_field, "field_id")
-    mark = F.when(F.col("n_docs") <= rare_docs, "rare").when(
-        F.col("n_docs") > F.lit(common_share) * F.col("field_docs"), "common"
-    )
+    part = Fraction(str(common_share))
+    common = F.col("n_docs") * part.denominator > F.col("field_docs") * part.numerator
+    mark = F.when(F.col("n_docs") <= rare_docs, "rare").when(common, "common")
     return counts.select("field_id", "token", "total_tf", "n_docs", "field_docs", mark.alias("mark"))
