@@ -84,7 +84,15 @@ _OTHERS = "|".join(
 #: titles have none of the texts and skip the pattern.
 _TIDY = [
     (r"fl(?:uid|\.)? ?(?:oz|ounces?)" + _ENDS + r"\.?", "fl_oz", ("oz", "ounce")),
-    (_NAMES, "~", ()),
+    (
+        _NAMES,
+        "~",
+        (
+            "#", "/", "art", "los", "ref", "sku", "typ", "stufe", "klasse", "nr", "no", "n°", "jahrgang", "vintage", "cuvée", "médaille",
+            "stage", "grade", "since", "depuis", "seit", "size", "ab ", "bis ", "dès ", "up to ", "aged ", "von ", "from ", "mit ", "with ",
+            "aux ",
+        ),
+    ),
     (
         rf"{_START}(?:{_ARTICLE} )?(?:halbe[srnm]?|half|demie?)[ -](?:{_ARTICLE} )?(?={_WORDS_OF_ONE}{_ENDS})",
         "½ ",
@@ -149,8 +157,7 @@ def _without_noise(rows: DataFrame) -> DataFrame:
     text = F.col("text")
     for pattern, replacement, needed in _TIDY:
         tidied = F.regexp_replace(text, pattern, replacement)
-        some = reduce(or_, map(text.contains, needed)) if needed else F.lit(True)
-        rows = rows.withColumn("text", F.when(some, tidied).otherwise(text))
+        rows = rows.withColumn("text", F.when(reduce(or_, map(text.contains, needed)), tidied).otherwise(text))
     return rows.withColumn("text", F.btrim("text"))
 
 
@@ -187,7 +194,9 @@ def package_contents(
         F.when(F.col("decimal_mark").isin(",", "."), F.array("decimal_mark")).otherwise(F.array(F.lit(","), F.lit("."))).alias("marks"),
         F.coalesce(F.col("country") == "fr", F.lit(False)).alias("spaced"),
     )
-    read = known.select("doc_id", "plain", "price", "default_unit", "spaced", F.explode("marks").alias("mark"))
+    read = known.select(
+        "doc_id", "plain", "price", "default_unit", "spaced", F.size("marks").alias("choices"), F.explode("marks").alias("mark")
+    )
     read = read.withColumn(
         "styled",
         F.when(F.col("spaced"), _styled(F.col("plain"), F.col("mark"), True)).otherwise(
@@ -198,55 +207,69 @@ def package_contents(
     odd = F.when(F.col("mark") == ",", F.col("plain").rlike(r"\d\.(?!\d{3}(?!\d))\d")).otherwise(
         F.col("plain").rlike(r"\d,(?!\d{3}(?!\d))\d")
     )
-    read = read.withColumn("odd", odd)
+    read = read.withColumn("odd", odd).select(
+        "doc_id", "price", "odd", "choices", "default_unit", F.inline(F.array(F.struct(F.col("styled").alias("styled"))))
+    )
     read = _without_noise(read.withColumn("text", F.col("styled")))
 
-    # What the title states, by falling precedence; each pattern is matched once and then taken apart.
+    # One generated row ends the code of a step; in one piece it would be too long for the JVM to compile.
+    steps_done = ["doc_id", "price", "odd", "choices", "default_unit", "styled"]
+    read = read.select(*steps_done, F.inline(F.array(F.struct(F.col("text").alias("text")))))
+
+    # What the title states, by falling precedence; a pattern is matched only where those before it found nothing.
+    def matched(pattern: str, where: Column, column: str = "text") -> Column:
+        return F.when(where, F.regexp_extract(column, pattern, 0)).otherwise("")
+
+    text, digit = F.col("text"), F.col("text").rlike(r"\d")
+    undecided = F.col("choices") > 1  # only then is the price looked at
+    read = read.withColumn("multi", matched(_MULTI, digit)).withColumn("single", matched(_SINGLE, digit & (F.col("multi") == "")))
+    nothing = digit & (F.col("multi") == "") & (F.col("single") == "")
     read = read.withColumns(
         {
-            "multi": F.regexp_extract("text", _MULTI, 0),
-            "pair": F.regexp_extract("text", _SUM, 0),
-            "single": F.regexp_extract("text", _SINGLE, 0),
-            "pack": F.regexp_extract("text", _PACK, 0),
-            "equal": F.regexp_extract("styled", _EQUAL, 0),
-            "per": F.regexp_extract("styled", _RATE, 0),
+            "pair": matched(_SUM, (F.col("single") != "") & (text.contains("lb") | text.contains("pound"))),
+            "pack": matched(_PACK, nothing),
+            "equal": matched(_EQUAL, undecided, "styled"),
+            "per": matched(_RATE, undecided, "styled"),
         }
     )
     named = (F.col("multi") != "") | (F.col("single") != "") | (F.col("pack") != "")
-    read = read.withColumn("bare_multi", F.when(~named, F.regexp_extract("text", _BARE_MULTI, 0)).otherwise(""))
-    read = read.withColumn("bare", F.when(~named, F.regexp_extract("text", _BARE, 1)).otherwise(""))
+    read = read.withColumn("bare_multi", matched(_BARE_MULTI, digit & ~named))
+    read = read.withColumn("bare", matched(_BARE, digit & ~named))
+
+    # What was found, as "count|value|unit|more of the unit"; the unit of a bare number is left empty.
+    def taken(column: str, pattern: str, parts: str) -> Column:
+        return F.regexp_replace(column, pattern, parts)
 
-    def part(column: str, pattern: str, group: int) -> Column:
-        return F.regexp_extract(column, pattern, group)
+    found = (
+        F.when(F.col("multi") != "", taken("multi", _MULTI, "$1|$2|$3|0"))
+        .when(F.col("pair") != "", taken("pair", _SUM, "16|$1|oz|$2"))
+        .when(F.col("single") != "", taken("single", _SINGLE, "1|$1|$2|0"))
+        .when(F.col("pack") != "", taken("pack", _PACK, "1|$1$2$3$4|piece|0"))
+        .when(F.col("bare_multi") != "", taken("bare_multi", _BARE_MULTI, "$1|$2||0"))
+        .when(F.col("bare") != "", taken("bare", _BARE, "1|$1||0"))
+    )
+    priced = F.when(F.col("equal") != "", taken("equal", _EQUAL, "$3|$1|$2")).when(
+        F.col("per") != "", taken("per", _RATE, "$1|1|$2")
+    )
+    # Generated rows, because conditions on generated columns are not copied below, where each would match all patterns.
+    stated = read.select(
+        "doc_id", "price", "odd", "default_unit", F.inline(F.array(F.struct(F.split(found, r"\|").alias("f"), F.split(priced, r"\|").alias("r"))))
+    )
+    spelled = F.create_map(*(F.lit(x) for pair in UNIT_OF.items() for x in pair))
 
     def number(text: Column) -> Column:
         return text.try_cast("double")
 
-    spelled = F.create_map(*(F.lit(x) for pair in UNIT_OF.items() for x in pair))
-    digits = number(F.regexp_extract("pack", r"(\d+)", 1))
-    one = F.lit(1.0)
-    stated = (
-        F.when(F.col("multi") != "", F.struct(number(part("multi", _MULTI, 1)).alias("count"), number(part("multi", _MULTI, 2)).alias("value"), spelled[part("multi", _MULTI, 3)].alias("unit")))
-        .when(F.col("pair") != "", F.struct(one.alias("count"), (number(part("pair", _SUM, 1)) * 16 + number(part("pair", _SUM, 2))).alias("value"), F.lit("oz").alias("unit")))
-        .when(F.col("single") != "", F.struct(one.alias("count"), number(part("single", _SINGLE, 1)).alias("value"), spelled[part("single", _SINGLE, 2)].alias("unit")))
-        .when(F.col("pack") != "", F.struct(digits.alias("count"), one.alias("value"), F.lit("piece").alias("unit")))
-        .when((F.col("bare_multi") != "") & F.col("default_unit").isNotNull(), F.struct(number(part("bare_multi", _BARE_MULTI, 1)).alias("count"), number(part("bare_multi", _BARE_MULTI, 2)).alias("value"), F.col("default_unit").alias("unit")))
-        .when((F.col("bare") != "") & F.col("default_unit").isNotNull(), F.struct(one.alias("count"), number(F.col("bare")).alias("value"), F.col("default_unit").alias("unit")))
-    )
-    rate = F.when(F.col("equal") != "", number(part("equal", _EQUAL, 3)) / number(part("equal", _EQUAL, 1)))
-    rate_unit = F.when(F.col("equal") != "", part("equal", _EQUAL, 2)).otherwise(part("per", _RATE, 2))
-    # A generated row, because conditions on generated columns are not copied below, where each would match all patterns.
-    reading = F.struct(
-        F.col("stated.unit").alias("unit"),
-        (F.col("stated.count") * F.col("stated.value")).alias("amount"),
-        F.coalesce(rate, number(part("per", _RATE, 1))).alias("rate"),
-        spelled[rate_unit].alias("rate_unit"),
-    )
-    readings = (
-        read.withColumn("stated", stated)
-        .select("doc_id", "price", "odd", F.inline(F.array(reading)))
-        .where("unit IS NOT NULL AND amount > 0")
-    )
+    f, r = F.col("f"), F.col("r")
+    readings = stated.where("f IS NOT NULL").select(
+        "doc_id",
+        "price",
+        "odd",
+        F.when(f[2] == "", F.col("default_unit")).otherwise(spelled[f[2]]).alias("unit"),
+        (number(f[0]) * number(f[1]) + number(f[3])).alias("amount"),
+        (number(r[0]) / number(r[1])).alias("rate"),
+        spelled[r[2]].alias("rate_unit"),
+    ).where("amount > 0")
     factors = unit_factors.where("unit IS NOT NULL AND factor IS NOT NULL").dropDuplicates(["unit"])
     based = readings.join(factors.select("unit", "base_unit", "factor"), "unit")
 
