@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import replace
 from typing import Any
 
@@ -19,11 +18,6 @@ from lodestone.operators.index import IndexTables, number_documents
 from lodestone.sources.store import COMPACT_AT, Store
 
 
-def tokenize(text: str) -> list[str]:
-    """The Text analyzer for a single query on the driver."""
-    return [t.lower() for t in re.findall("[A-Za-z0-9]+", text)]
-
-
 class Engine:
     """Indexes below ``root``.  Opening an engine on a folder recovers whatever was committed there."""
 
@@ -105,9 +99,6 @@ class Engine:
         """``(id, score, doc)``, best first, at most 100; options as in :func:`lodestone.operators.search.search_batch`."""
         index = self.tables(name)
         one = self.spark.createDataFrame([(0, query)], "query_id int, q string")
-        if not fuzzy:  # the tokens are known here: let the scan of postings skip all others
-            wanted = sorted(set(tokenize(query)))
-            index = replace(index, postings=index.postings.where(F.col("token").isin(wanted)))
         hits = se.search_batch(one, index, fuzzy, **options)
         return se.with_docs(hits, index.docs).orderBy("place").select("id", "score", "doc")
 

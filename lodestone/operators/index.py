@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ class IndexTables:
     """An index as DataFrames.
 
     ``docs(doc_id, doc)``, ``postings(field, token, doc_id, tf, dl)``, ``field_stats(field, doc_id, total_tokens)``,
-    ``trigrams(field, trigram, token, doc_id, pos)`` with the first token that had each trigram, and
-    ``grams(field, trigram, token)`` with every one.
+    ``trigrams(field, trigram, token, doc_id, pos)`` with the first token that had each trigram,
+    ``grams(field, trigram, token)`` with every one, and ``lengths(field, n_docs, total_tokens)``, one row per field.
     """
 
     docs: DataFrame
@@ -29,15 +30,14 @@ class IndexTables:
     field_stats: DataFrame
     trigrams: DataFrame
     grams: DataFrame
-
-    def map(self, f) -> IndexTables:
-        return replace(self, **{x.name: f(x.name, getattr(self, x.name)) for x in fields(self)})
+    lengths: DataFrame
 
     def union(self, other: IndexTables) -> IndexTables:
         """Of two indexes without common documents; a trigram that both have keeps the token of the earlier document."""
         both = {x.name: getattr(self, x.name).unionByName(getattr(other, x.name)) for x in fields(self)}
         both["trigrams"] = first_tokens(both["trigrams"])
         both["grams"] = both["grams"].distinct()
+        both["lengths"] = total_lengths(both["lengths"])
         return IndexTables(**both)
 
 
@@ -60,15 +60,21 @@ def field_stats(fields_of_docs: DataFrame) -> DataFrame:
     return fields_of_docs.select("field", "doc_id", F.size("tokens").alias("total_tokens"))
 
 
-def postings(fields_of_docs: DataFrame) -> DataFrame:
-    """``(field, token, doc_id, tf, dl)``: the key holds the document, so no token can fill one task."""
+def placed_tokens(fields_of_docs: DataFrame) -> DataFrame:
+    """``(field, token, doc_id, tf, dl, pos)``: postings with the first place of the token in the field.  The key holds
+    the document, so no token can fill one task."""
     return (
-        fields_of_docs.select("field", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+        fields_of_docs.select("field", "doc_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "token"))
         .groupBy("field", "token", "doc_id")
-        .agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+        .agg(F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"), F.min("pos").alias("pos"))
     )
 
 
+def postings(fields_of_docs: DataFrame) -> DataFrame:
+    """``(field, token, doc_id, tf, dl)``."""
+    return placed_tokens(fields_of_docs).drop("pos")
+
+
 def first_tokens(grams: DataFrame) -> DataFrame:
     """Per field and trigram the token of the first document (and first place in it) that had it."""
     place = F.struct("doc_id", "pos", "token")
@@ -79,30 +85,40 @@ def first_tokens(grams: DataFrame) -> DataFrame:
     )
 
 
-def build(docs: DataFrame, mapping: Mapping) -> IndexTables:
+def build(docs: DataFrame, mapping: Mapping, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> IndexTables:
     """The tables of an index over ``docs(doc_id, doc)``.  Text fields give their tokens, Keyword fields one token, other
-    fields nothing; a null field gives nothing at all."""
+    fields nothing; a null field gives nothing at all.  ``stage`` may write what several tables are made of, so that the
+    texts are analyzed once."""
     cells = analyzed(docs, mapping)
+    placed = stage(placed_tokens(cells))
     # A token has the same trigrams wherever it is: reduce to first places of tokens before trigrams multiply the rows.
-    tokens_first = (
-        cells.select("field", "doc_id", F.posexplode("tokens").alias("pos", "token"))
-        .groupBy("field", "token")
-        .agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-        .select("field", "token", "first.doc_id", "first.pos")
+    tokens_first = placed.groupBy("field", "token").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    grams = tokens_first.select(
+        "field", "token", "first.doc_id", "first.pos", F.explode(F.array_distinct(trigrams(F.col("token")))).alias("trigram")
     )
-    grams = tokens_first.select("field", "token", "doc_id", "pos", F.explode(F.array_distinct(trigrams(F.col("token")))).alias("trigram"))
     return IndexTables(
         docs=docs.select("doc_id", "doc"),
-        postings=postings(cells),
+        postings=placed.drop("pos"),
         field_stats=field_stats(cells),
         trigrams=first_tokens(grams).select("field", "trigram", "token", "doc_id", "pos"),
         grams=grams.select("field", "trigram", "token"),
+        lengths=field_lengths(field_stats(cells)),
     )
 
 
-def field_aggregates(stats: DataFrame) -> DataFrame:
+def field_lengths(stats: DataFrame) -> DataFrame:
+    """``(field, n_docs, total_tokens)`` of ``field_stats``."""
+    return stats.groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("total_tokens").cast("bigint").alias("total_tokens"))
+
+
+def total_lengths(lengths: DataFrame) -> DataFrame:
+    """The same of several parts together."""
+    return lengths.groupBy("field").agg(F.sum("n_docs").cast("bigint").alias("n_docs"), F.sum("total_tokens").cast("bigint").alias("total_tokens"))
+
+
+def field_aggregates(lengths: DataFrame) -> DataFrame:
     """``(field, n_docs, avgdl)``: what the ranking needs to know of a field."""
-    return stats.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("total_tokens").alias("avgdl"))
+    return lengths.select("field", "n_docs", (F.col("total_tokens") / F.col("n_docs")).alias("avgdl"))
 
 
 def document_frequency(index_postings: DataFrame) -> DataFrame:

@@ -14,8 +14,10 @@ from lodestone.functions.analyze import tokens, trigrams
 from lodestone.operators.index import IndexTables, field_aggregates
 
 LIMIT, K1, B = 100, 1.2, 0.75
-#: Up to this many terms are broadcast; more are joined by an exchange, as is decided by Spark from their size.
-BROADCAST_TERMS = 100_000
+#: Up to this many terms are held by the driver and broadcast; more stay a table and are joined as Spark sees fit.
+LOCAL_TERMS = 100_000
+#: Up to this many tokens or ids are named in the condition of a scan, which then skips what has none of them.
+NAMED = 1_000
 
 
 def bm25(tf: Column, dl: Column, df: Column, n_docs: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
@@ -57,16 +59,29 @@ def expand(terms: DataFrame, index: IndexTables, trigram_mode: str = "first", di
     return terms.unionByName(more).distinct()
 
 
-def score(terms: DataFrame, postings: DataFrame, aggregates: DataFrame, k1: float = K1, b: float = B, mode: str = "and") -> DataFrame:
+def score(
+    terms: DataFrame,
+    postings: DataFrame,
+    aggregates: DataFrame,
+    k1: float = K1,
+    b: float = B,
+    mode: str = "and",
+    few_terms: bool = False,
+) -> DataFrame:
     """``(query_id, doc_id, score)`` of all matches of ``terms(query_id, n_terms, term_pos, token)``.
 
     The rows of one ``term_pos`` are alternatives of one term: a document counts once, with the frequency of the smallest
     of its tokens, and the document frequency of the term is the number of such documents in the field.
+
+    Hits are exchanged once, by query and document; all that follows per document stays where it is.  ``few_terms`` tells
+    that the terms have been counted and are few: then they and their document frequencies are broadcast.
     """
-    hits = postings.join(terms, "token").groupBy("query_id", "n_terms", "field", "term_pos", "doc_id")
-    per_term = hits.agg(F.min(F.struct("token", "tf", "dl")).alias("m"))
+    small = F.broadcast if few_terms else (lambda df: df)
+    hits = postings.join(small(terms), "token").repartition("query_id", "doc_id")
+    per_term = hits.groupBy("query_id", "n_terms", "field", "term_pos", "doc_id").agg(F.min(F.struct("token", "tf", "dl")).alias("m"))
     frequency = per_term.groupBy("query_id", "field", "term_pos").agg(F.count("*").alias("df"))
-    weighed = per_term.join(frequency, ["query_id", "field", "term_pos"]).join(F.broadcast(aggregates), "field")
+    # One row per field of the mapping.
+    weighed = per_term.join(small(frequency), ["query_id", "field", "term_pos"]).join(F.broadcast(aggregates), "field")
     weight = bm25(F.col("m.tf"), F.col("m.dl"), F.col("df"), F.col("n_docs"), F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0)), k1, b)
     per_field = (
         weighed.groupBy("query_id", "n_terms", "field", "doc_id")
@@ -99,12 +114,26 @@ def search_batch(
     terms = query_terms(queries)
     if fuzzy:
         terms = expand(terms, index, trigram_mode, distance)
-    postings, stats = index.postings, index.field_stats
+    postings = index.postings
     if fields is not None:
-        postings, stats = postings.where(F.col("field").isin(fields)), stats.where(F.col("field").isin(fields))
-    return top(score(terms, postings, field_aggregates(stats), k1, b, mode), limit)
+        postings = postings.where(F.col("field").isin(fields))
+    rows = terms.limit(LOCAL_TERMS + 1).collect()
+    few = len(rows) <= LOCAL_TERMS
+    if few:
+        terms = queries.sparkSession.createDataFrame(rows, terms.schema)
+        wanted = sorted({r["token"] for r in rows})
+        if len(wanted) <= NAMED:
+            postings = postings.where(F.col("token").isin(wanted))
+    return top(score(terms, postings, field_aggregates(index.lengths), k1, b, mode, few), limit)
 
 
 def with_docs(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Hits joined to their documents, after the cut: at most ``limit`` per query.  Hits without a document are dropped."""
-    return hits.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("id"), "score", "place", "doc")
+    """Hits joined to their documents, after the cut.  Hits without a document are dropped.
+
+    Few hits are held by the driver and their ids named in the scan of the documents; more are joined as Spark sees fit.
+    """
+    rows = hits.limit(NAMED + 1).collect()
+    if len(rows) <= NAMED:
+        hits = F.broadcast(hits.sparkSession.createDataFrame(rows, hits.schema))
+        docs = docs.where(F.col("doc_id").isin(sorted({r["doc_id"] for r in rows})))
+    return docs.join(hits, "doc_id").select("query_id", F.col("doc_id").alias("id"), "score", "place", "doc")

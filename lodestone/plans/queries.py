@@ -104,7 +104,7 @@ def field_stats(spark, folder):
 
 @query
 def field_agg(spark, folder):
-    found = index.field_aggregates(index.field_stats(_cells(spark, folder, DOCUMENTS)))
+    found = index.field_aggregates(index.field_lengths(index.field_stats(_cells(spark, folder, DOCUMENTS))))
     return found.withColumn("avgdl", F.round("avgdl", 6))
 
 

@@ -24,7 +24,8 @@ TABLES = ("docs", "postings", "field_stats", "trigrams", "grams")
 
 @dataclass(frozen=True)
 class State:
-    """``log`` and ``segments`` are folders below the index; ``streams`` the last batch taken from each stream."""
+    """``log`` and ``segments`` are folders below the index; ``streams`` the last batch taken from each stream; ``lengths``
+    has, for each segment and field, the number of documents and of tokens, which every ranking needs."""
 
     version: int
     mapping: Mapping
@@ -33,6 +34,7 @@ class State:
     max_doc_id: int = 0
     next_segment: int = 1
     streams: dict[str, int] = field(default_factory=dict)
+    lengths: dict[str, dict[str, list[int]]] = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps({"format": 1, **self.__dict__, "mapping": json.loads(self.mapping.to_json())}, ensure_ascii=False)
@@ -40,7 +42,7 @@ class State:
     @staticmethod
     def from_json(text: str) -> State:
         d = json.loads(text)
-        return State(d["version"], Mapping.of(d["mapping"]), tuple(d["segments"]), tuple(d["log"]), d["max_doc_id"], d["next_segment"], d["streams"])
+        return State(d["version"], Mapping.of(d["mapping"]), tuple(d["segments"]), tuple(d["log"]), d["max_doc_id"], d["next_segment"], d["streams"], d["lengths"])
 
 
 class Store:
@@ -94,14 +96,19 @@ class Store:
     # -- segments -----------------------------------------------------------------------------------------------------
 
     def write_segment(self, name: str, number: int, tables: ix.IndexTables) -> str:
-        """Writes the tables sorted, so that a lookup reads few row groups; a frequent token spans many files."""
+        """Writes the tables sorted, so that a lookup reads few row groups; a frequent token spans many files.
+
+        Documents and their lengths are sorted file by file only: ids are given in the order of the log's files, so each
+        file has few ids in common with others and an exchange would gain nothing.
+        """
         folder = f"segments/{number:08d}-{uuid.uuid4().hex}"
         for table in TABLES:
             order = ix.ORDER[table]
             df = getattr(tables, table)
+            if table not in ("docs", "field_stats"):
+                df = df.repartitionByRange(*order)
             (
-                df.repartitionByRange(*order)
-                .sortWithinPartitions(*order)
+                df.sortWithinPartitions(*order)
                 .write.option("parquet.block.size", str(8 << 20))
                 .option("compression", "zstd")
                 .parquet(f"{self.folder(name)}/{folder}/{table}")
@@ -115,6 +122,8 @@ class Store:
         read = {t: self.spark.read.parquet(*(f"{base}/{s}/{t}" for s in segments)) for t in TABLES if t != "docs"}
         # Fields that were added later are null in older files.
         read["docs"] = self.spark.read.schema(self._doc_schema(state.mapping)).parquet(*(f"{base}/{s}/docs" for s in segments))
+        rows = [(f, n, t) for s in segments for f, (n, t) in state.lengths[s].items()]
+        read["lengths"] = ix.total_lengths(self.spark.createDataFrame(rows, "field string, n_docs bigint, total_tokens bigint"))
         tables = ix.IndexTables(**read)
         if len(segments) == 1:
             return tables
@@ -135,18 +144,29 @@ class Store:
         state = self.state(name)
         if not state.log:
             return state
-        if len(state.segments) < compact_at:
-            tables, kept = ix.build(self.read_log(name, state), state.mapping), state.segments
-        else:
-            tables, kept = self.tables(name, state), ()
+        staging = f"{self.folder(name)}/staging/{uuid.uuid4().hex}"
+
+        def stage(df: DataFrame) -> DataFrame:
+            df.write.parquet(staging)
+            return self.spark.read.parquet(staging)
+
+        tables, kept = ix.build(self.read_log(name, state), state.mapping, stage), state.segments
+        if len(state.segments) >= compact_at:
+            tables, kept = self.read_segments(name, state, state.segments).union(tables), ()
         new = self.write_segment(name, state.next_segment, tables)
-        return self.commit(name, replace(state, segments=(*kept, new), log=(), next_segment=state.next_segment + 1))
+        self.files.delete(staging)
+        stats = self.spark.read.parquet(f"{self.folder(name)}/{new}/field_stats")
+        lengths = {r["field"]: [r["n_docs"], r["total_tokens"]] for r in ix.field_lengths(stats).collect()}
+        lengths = {s: state.lengths[s] for s in kept} | {new: lengths}
+        return self.commit(
+            name, replace(state, segments=(*kept, new), log=(), next_segment=state.next_segment + 1, lengths=lengths)
+        )
 
     def vacuum(self, name: str) -> list[str]:
         """Deletes segments and logs that the newest manifest does not name.  For times without readers of older ones."""
         state = self.state(name)
         live = {*state.segments, *state.log}
-        dead = [f"{k}/{n}" for k in ("segments", "log") for n in self.files.names(f"{self.folder(name)}/{k}") if f"{k}/{n}" not in live]
+        dead = [f"{k}/{n}" for k in ("segments", "log", "staging") for n in self.files.names(f"{self.folder(name)}/{k}") if f"{k}/{n}" not in live]
         for path in dead:
             self.files.delete(f"{self.folder(name)}/{path}")
         return dead
