@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.analyze import clean_term
+from lodestone.functions.newest import Newest
 
 FAN_IN = 32
 _MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -86,14 +87,12 @@ def term_statistics(postings: DataFrame, fan_in: int = FAN_IN, chunks: int | Non
     ``n_docs`` 0 and null for the rest.  Rows without a field or term are left out.
     """
     rows = postings.select("field", clean_term(F.col("token")).alias("token"), "doc_id", "segment_id", "tf")
-    usable = F.col("doc_id").isNotNull() & F.col("tf").isNotNull()
+    newest = Newest(rows.schema["segment_id"].dataType, rows.schema["tf"].dataType)
+    key = F.when(F.col("doc_id").isNotNull(), newest.key(F.col("segment_id"), F.col("tf")))
     by_doc = (
         rows.where("token IS NOT NULL AND field IS NOT NULL")
         .groupBy("field", "token", "doc_id")
-        .agg(
-            F.count("*").alias("n"),
-            F.max(F.when(usable, F.struct("segment_id", "tf")))["tf"].cast("bigint").alias("tf"),
-        )
+        .agg(F.count("*").alias("n"), newest.value(F.max(key)).cast("bigint").alias("tf"))
     )
     return tree_aggregate(
         by_doc,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", **settings: str) -> SparkSession:
@@ -40,3 +41,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and read from the checkpoint folder: safe when executors are lost."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` held by the driver and marked for broadcast if it has at most so many rows, else as it is."""
+    found = df.limit(rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)) if len(found) <= rows else df
+
+
+def hot_parts(spark: SparkSession) -> int:
+    """A key with more than one part in so many of all rows would fill a quarter of a usual task by itself."""
+    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
