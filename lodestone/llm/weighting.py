@@ -9,9 +9,10 @@ Two aggregations give every weight: one per term over the records (its spread),
 
 The entropy needs no second look at the rows: sum(p log2 p) = sum(tf log2 tf) / T - log2 T.
 
-Neither step gathers a term's records in one task.  Statistics are combined before the exchange; rows of terms that
-have more than a part in ``HEAVY_PARTS`` of all rows get theirs by a broadcast of at most so many rows, the others by
-an exchange on the term.
+No step gathers a frequent term's records in one task.  Terms with more than a part in ``heavy_parts`` of all rows are
+found first, by counts that are combined before they are exchanged; there cannot be more than ``heavy_parts``.  Their
+rows are spread by document and their statistics broadcast.  Rows of all other terms are exchanged once, by term: replays
+are removed and the statistics taken where they arrive.
 """
 
 from __future__ import annotations
@@ -21,53 +22,61 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.analyze import clean_term
+from lodestone.functions.newest import Newest
+from lodestone.session import hot_parts, small_side
 
 K1, B = 1.2, 0.75
-HEAVY_PARTS = 512
+#: Up to this many fields are broadcast; a mapping has a few.
+FIELDS = 10_000
 
 
-def current_postings(postings: DataFrame) -> DataFrame:
-    """``(field, token, doc_id, tf)``: the row with the highest segment of each term and document; see
-    :func:`term_weights` for nulls and ties."""
-    return (
-        postings.select("field", clean_term(F.col("token")).alias("token"), "doc_id", "segment_id", "tf")
-        .where("field IS NOT NULL AND token IS NOT NULL AND doc_id IS NOT NULL AND tf IS NOT NULL")
-        .groupBy("field", "token", "doc_id")
-        .agg(F.max(F.struct("segment_id", "tf"))["tf"].alias("tf"))
-    )
+def clean_postings(postings: DataFrame) -> DataFrame:
+    """``(field, token, doc_id, key)`` of usable rows; see :func:`term_weights` for nulls and ties."""
+    newest = Newest(postings.schema["segment_id"].dataType, postings.schema["tf"].dataType)
+    rows = postings.where("field IS NOT NULL AND doc_id IS NOT NULL AND tf IS NOT NULL")
+    return rows.select(
+        "field", clean_term(F.col("token")).alias("token"), "doc_id", newest.key(F.col("segment_id"), F.col("tf")).alias("key")
+    ).where("token IS NOT NULL")
 
 
 def current_lengths(field_stats: DataFrame) -> DataFrame:
     """``(field, doc_id, dl)``: the entry with the highest segment of each field and document."""
+    newest = Newest(field_stats.schema["segment_id"].dataType, field_stats.schema["total_tokens"].dataType)
     return (
         field_stats.where("field IS NOT NULL AND doc_id IS NOT NULL AND total_tokens IS NOT NULL")
         .groupBy("field", "doc_id")
-        .agg(F.max(F.struct("segment_id", "total_tokens"))["total_tokens"].alias("dl"))
+        .agg(F.max(newest.key(F.col("segment_id"), F.col("total_tokens"))).alias("key"))
+        .select("field", "doc_id", newest.value(F.col("key")).alias("dl"))
     )
 
 
-def with_term_statistics(rows: DataFrame, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
-    """``rows(field, token, doc_id, tf)`` with the term's ``df``, ``total`` (of tf) and ``tf_log_tf`` (sum of tf log2 tf).
+def with_term_statistics(postings: DataFrame, heavy_parts: int | None = None) -> DataFrame:
+    """``(field, token, doc_id, tf)`` of the current postings, with the term's ``df``, ``total`` (of tf) and ``tf_log_tf``
+    (sum of tf log2 tf)."""
+    parts = heavy_parts or hot_parts(postings.sparkSession)
+    newest = Newest(postings.schema["segment_id"].dataType, postings.schema["tf"].dataType)
+    rows, keys = clean_postings(postings), ["field", "token"]
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    # Not more than parts terms can have more than one part in parts of all rows.
+    top = counted.where(F.col("n") * parts > postings.count()).select(*keys).limit(parts).collect()
+    heavy = F.broadcast(postings.sparkSession.createDataFrame(top, "field string, token string"))
+
+    def current(some: DataFrame) -> DataFrame:
+        once = some.groupBy(*keys, "doc_id").agg(F.max("key").alias("key"))
+        return once.select(*keys, "doc_id", newest.value(F.col("key")).alias("tf"))
 
-    A term is heavy if it has more than one part in ``heavy_parts`` of the rows of all terms; there can't be more than
-    ``heavy_parts`` such terms.
-    """
     tf = F.col("tf").cast("double")
-    by_term = rows.groupBy("field", "token").agg(
-        F.count("*").alias("df"),
-        F.sum(F.col("tf").cast("bigint")).alias("total"),
-        F.sum(F.when(tf > 0, tf * F.log2(tf)).otherwise(0.0)).alias("tf_log_tf"),
-    )
-    # The top rows are found without a sort of all terms; at most heavy_parts of them have more than one part.
-    top = by_term.orderBy(F.col("df").desc(), "field", "token").limit(heavy_parts)
-    n_rows = rows.agg(F.count("*").alias("n")).collect()[0]["n"]
-    heavy = rows.sparkSession.createDataFrame(
-        top.where(F.col("df") * heavy_parts > n_rows).collect(), by_term.schema
-    )
-    keys = ["field", "token"]
-    hot = rows.join(F.broadcast(heavy), keys)
-    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(by_term, keys)
-    return hot.unionByName(rest)
+    measures = {
+        "df": F.count(F.lit(1)),
+        "total": F.sum(F.col("tf").cast("bigint")),
+        "tf_log_tf": F.sum(F.when(tf > 0, tf * F.log2(tf)).otherwise(0.0)),
+    }
+    by_term = Window.partitionBy(*keys)
+    light = current(rows.join(heavy, keys, "left_anti").repartition(*keys))
+    light = light.select("*", *(m.over(by_term).alias(name) for name, m in measures.items()))
+    hot = current(rows.join(heavy, keys))
+    statistics = hot.groupBy(*keys).agg(*(m.alias(name) for name, m in measures.items()))  # a row for each heavy term
+    return light.unionByName(hot.join(F.broadcast(statistics), keys))
 
 
 def term_weights(
@@ -76,7 +85,7 @@ def term_weights(
     scheme: str = "log_entropy",
     k1: float = K1,
     b: float = B,
-    heavy_parts: int = HEAVY_PARTS,
+    heavy_parts: int | None = None,
 ) -> DataFrame:
     """``(field, token, doc_id, tf, df, weight)`` for every term and document of ``postings``.
 
@@ -89,9 +98,8 @@ def term_weights(
     if scheme not in ("log_entropy", "bm25"):
         raise ValueError("scheme must be log_entropy or bm25")
     lengths = current_lengths(field_stats)
-    # One row per field of the mapping.
-    fields = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    rows = with_term_statistics(current_postings(postings), heavy_parts).join(fields, "field", "left")
+    fields = small_side(lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), FIELDS)
+    rows = with_term_statistics(postings, heavy_parts).join(fields, "field", "left")
     n, avgdl = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.nullif(F.col("avgdl"), F.lit(0.0)), F.lit(1.0))
     tf, df = F.col("tf").cast("double"), F.col("df")
     if scheme == "log_entropy":
