@@ -3,7 +3,7 @@
 Heavy-light aggregation.  The lists of a few terms hold much of all entries; the lists of the others fit a task.
 
 * Heavy terms are found by local counts (each task keeps only terms with a share of its own entries) and broadcast:
-  at most ``2 * heavy_parts`` of them, so their size is bounded by a parameter and not by the data.
+  at most ``2 * heavy_parts`` of them, so their size follows the number of tasks and not the data.
 * Entries of heavy terms are not shuffled.  Each task merges them into arrays of exact counters per heavy term, one
   cell a record, which hold the current frequency; only the arrays travel, by term and range of records, are merged by
   the same kernel, and leave one row per term and task.
@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.analyze import clean_term
+from lodestone.functions.newest import Newest
+from lodestone.session import hot_parts, small_side
 
 RARE_DOCS = 1
 COMMON_SHARE = 0.2
-#: A term is heavy if it has more than about one part in so many of all entries.
-HEAVY_PARTS = 512
+#: Up to this many fields are broadcast; a mapping has a few.
+FIELDS = 10_000
 #: Cells that a task holds before it merges them.
 CELLS = 1 << 20
 #: Records per array that travels.
@@ -54,7 +56,7 @@ def _local_shares(parts: int):
     return run
 
 
-def heavy_terms(entries: DataFrame, parts: int = HEAVY_PARTS) -> DataFrame:
+def heavy_terms(entries: DataFrame, parts: int) -> DataFrame:
     """Terms ``(field_id, token, term)`` of ``entries(field_id, token, docs)`` with more than one part in ``parts`` of
     all entries, perhaps also some with half of that: at most ``2 * parts`` rows, held by the driver.  ``term`` is a
     number that stands for the term."""
@@ -148,7 +150,7 @@ def entries_of(token_entries: DataFrame) -> DataFrame:
     )
 
 
-def term_counts(token_entries: DataFrame, heavy_parts: int = HEAVY_PARTS, cells: int = CELLS) -> DataFrame:
+def term_counts(token_entries: DataFrame, heavy_parts: int | None = None, cells: int = CELLS) -> DataFrame:
     """``(field_id, token, total_tf, n_docs)`` for every term of ``token_entries(segment_id, field_id, token, docs)``.
 
     ``token`` is the cleaned form.  A record counts once per term, with the frequency that the highest ``segment_id``
@@ -156,20 +158,23 @@ def term_counts(token_entries: DataFrame, heavy_parts: int = HEAVY_PARTS, cells:
     Elements of ``docs`` without a ``doc_id`` are left out, a null ``tf`` counts as 0.  An empty table gives no rows.
     """
     entries = entries_of(token_entries)
-    heavy = heavy_terms(entries, heavy_parts)
+    heavy = heavy_terms(entries, heavy_parts or hot_parts(entries.sparkSession))
     keys = ["field_id", "token"]
     opened = F.explode("docs").alias("d")
     cell = [
         F.col("d.doc_id").alias("doc_id"),
-        F.coalesce(F.col("segment_id"), F.lit(-(2**31))).cast("bigint").alias("segment"),
-        F.coalesce(F.col("d.tf"), F.lit(0)).cast("bigint").alias("tf"),
+        F.coalesce(F.col("segment_id"), F.lit(-(2**31))).alias("segment"),
+        F.coalesce(F.col("d.tf"), F.lit(0)).alias("tf"),
     ]
+    element = token_entries.schema["docs"].dataType.elementType
+    newest = Newest(token_entries.schema["segment_id"].dataType, element["tf"].dataType)
 
     heavy_counts = (
         entries.join(F.broadcast(heavy), keys)
         .select("term", "segment_id", opened)
         .select("term", *cell)
         .where("doc_id IS NOT NULL")
+        .select("term", "doc_id", F.col("segment").cast("bigint"), F.col("tf").cast("bigint"))
         .mapInArrow(_combine(cells), "term bigint, part bigint, docs array<bigint>, segments array<bigint>, tfs array<bigint>")
         .repartition("term", "part")
         .mapInArrow(_count(cells), "term bigint, total_tf bigint, n_docs bigint")
@@ -185,9 +190,9 @@ def term_counts(token_entries: DataFrame, heavy_parts: int = HEAVY_PARTS, cells:
         .select(*keys, *cell)
         .where("doc_id IS NOT NULL")
         .groupBy(*keys, "doc_id")
-        .agg(F.max(F.struct("segment", "tf")).alias("current"))
+        .agg(newest.value(F.max(newest.key(F.col("segment"), F.col("tf")))).cast("bigint").alias("tf"))
         .groupBy(*keys)
-        .agg(F.sum("current.tf").alias("total_tf"), F.count("*").alias("n_docs"))
+        .agg(F.sum("tf").alias("total_tf"), F.count("*").alias("n_docs"))
     )
     return light_counts.unionByName(heavy_counts)
 
@@ -196,7 +201,7 @@ def term_marks(
     token_entries: DataFrame,
     rare_docs: int = RARE_DOCS,
     common_share: float = COMMON_SHARE,
-    heavy_parts: int = HEAVY_PARTS,
+    heavy_parts: int | None = None,
 ) -> DataFrame:
     """:func:`term_counts` with ``field_docs``, the distinct records that the terms of the field list altogether, and
     ``mark``: ``rare`` (in at most ``rare_docs`` records), ``common`` (in more than ``common_share`` of ``field_docs``)
@@ -209,8 +214,7 @@ def term_marks(
         .groupBy("field_id")
         .agg(F.count("*").alias("field_docs"))
     )
-    # One row for each field of the mapping: far below any limit for a broadcast, which Spark checks by size.
-    counts = term_counts(token_entries, heavy_parts).join(per_field, "field_id")
+    counts = term_counts(token_entries, heavy_parts).join(small_side(per_field, FIELDS), "field_id")
     part = Fraction(str(common_share))
     common = F.col("n_docs") * part.denominator > F.col("field_docs") * part.numerator
     mark = F.when(F.col("n_docs") <= rare_docs, "rare").when(common, "common")
