@@ -6,21 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.index import number_documents
+from lodestone.session import small_side
+
 TOKENS_PER_BLOCK, DOCS_PER_BLOCK = 16, 128
+#: Ids that are taken together in one task.
+RANGE = 1 << 16
+#: Up to this many fields are broadcast; a mapping has a few.
+FIELDS = 10_000
 
 
 def delta_postings(postings: DataFrame) -> DataFrame:
-    """``(field, token, doc_id, delta)``: the gap to the term's previous document, the first one's id itself."""
-    by_term = Window.partitionBy("field", "token").orderBy("doc_id")
-    return postings.select("field", "token", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(by_term)).alias("delta"))
+    """``(field, token, doc_id, delta)``: the gap to the term's previous document, the first one's id itself.
+
+    A term's documents are taken in ranges of ids, so that a frequent term fills many tasks; the last document of each
+    range is carried to the next.
+    """
+    key = ["field", "token", "range"]
+    ranged = postings.select("field", "token", "doc_id", F.floor(F.col("doc_id") / RANGE).alias("range"))
+    ends = ranged.groupBy(*key).agg(F.max("doc_id").alias("last"))
+    by_term = Window.partitionBy("field", "token").orderBy("range")
+    before = ends.select(*key, F.lag("last", 1, 0).over(by_term).alias("before"))
+    gap = F.lag("doc_id").over(Window.partitionBy(*key).orderBy("doc_id"))
+    return ranged.join(before, key).select(
+        "field", "token", "doc_id", (F.col("doc_id") - F.coalesce(gap, F.col("before"))).alias("delta")
+    )
 
 
 def token_blocks(postings: DataFrame, size: int = TOKENS_PER_BLOCK) -> DataFrame:
-    """``(field, block, first_token, n_tokens, n_postings)``: the sorted terms of a field in blocks of ``size``."""
-    terms = postings.groupBy("field", "token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("field").orderBy("token"))
+    """``(field, block, first_token, n_tokens, n_postings)``: the sorted terms of a field in blocks of ``size``.  Terms are
+    numbered task by task, see :func:`lodestone.operators.index.number_documents`."""
+    terms = number_documents(postings.groupBy("field", "token").agg(F.count("*").alias("df")), 0, ["field", "token"])
+    starts = small_side(terms.groupBy("field").agg(F.min("doc_id").alias("start")), FIELDS)
     return (
-        terms.withColumn("block", F.floor((place - 1) / size))
+        terms.join(starts, "field")
+        .withColumn("block", F.floor((F.col("doc_id") - F.col("start")) / size))
         .groupBy("field", "block")
         .agg(F.min("token").alias("first_token"), F.count("*").alias("n_tokens"), F.sum("df").cast("bigint").alias("n_postings"))
     )
@@ -31,8 +51,7 @@ def doc_blocks(docs: DataFrame, size: int = DOCS_PER_BLOCK) -> DataFrame:
 
     Ids are ranked without gathering them in one task: rows are counted per id range first, then ranked in each range.
     """
-    wide = 1 << 16
-    ranged = docs.select("doc_id", F.floor(F.col("doc_id") / wide).alias("range"))
+    ranged = docs.select("doc_id", F.floor(F.col("doc_id") / RANGE).alias("range"))
     counts = ranged.groupBy("range").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("range", before.alias("before"))  # one row per 65,536 ids
@@ -45,18 +64,10 @@ def doc_blocks(docs: DataFrame, size: int = DOCS_PER_BLOCK) -> DataFrame:
     )
 
 
-def block_of_tokens(blocks: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``(field, token, block)``: the block in which a token would be, that is the last one that begins at or before it.
-
-    Blocks and tokens are merged in one order per field and the last block carried on; tokens before all blocks have none.
-    """
-    marks = blocks.select("field", F.col("first_token").alias("token"), "block", F.lit(0).alias("asked"))
-    fields = blocks.select("field").distinct()
-    asked = tokens.select("token").distinct().join(F.broadcast(fields)).select("field", "token", F.lit(None).cast("bigint").alias("block"), F.lit(1).alias("asked"))
-    order = Window.partitionBy("field").orderBy("token", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        marks.unionByName(asked)
-        .select("field", "token", "asked", F.last("block", True).over(order).alias("block"))
-        .where("asked = 1 AND block IS NOT NULL")
-        .select("field", "token", "block")
-    )
+def block_of_tokens(blocks: DataFrame, tokens: list[str]) -> DataFrame:
+    """``(field, token, block)``: the block in which a token would be, that is the last one that begins at or before it;
+    tokens before all blocks of a field have no row for it.  The tokens are those of a query: each task compares its
+    blocks with them and keeps one block a field and token."""
+    asked = blocks.sparkSession.createDataFrame([(t,) for t in sorted(set(tokens))], "token string")
+    reached = blocks.join(F.broadcast(asked), F.col("first_token") <= F.col("token"))
+    return reached.groupBy("field", "token").agg(F.max("block").alias("block"))

@@ -42,10 +42,18 @@ def alternatives(terms: DataFrame, index: IndexTables, trigram_mode: str = "firs
     most ``distance`` edits.  ``first`` knows one token per trigram, ``full`` all of them."""
     if trigram_mode not in ("first", "full"):
         raise ValueError("trigram_mode must be first or full")
-    known = flat_trigrams(index.trigrams) if trigram_mode == "first" else index.grams.select("trigram", "token").distinct()
     asked = terms.select("token").distinct().select("token", F.explode(F.array_distinct(trigrams(F.col("token")))).alias("trigram"))
+    known = index.trigrams if trigram_mode == "first" else index.grams
+    rows = asked.limit(LOCAL_TERMS + 1).collect()
+    if len(rows) <= LOCAL_TERMS:
+        asked = F.broadcast(terms.sparkSession.createDataFrame(rows, asked.schema))
+        wanted = sorted({r["trigram"] for r in rows})
+        if len(wanted) <= NAMED:
+            known = known.where(F.col("trigram").isin(wanted))
+    known = flat_trigrams(known) if trigram_mode == "first" else known.select("trigram", "token").distinct()
     return (
-        asked.join(known.withColumnRenamed("token", "alternative"), "trigram")
+        known.withColumnRenamed("token", "alternative")
+        .join(asked, "trigram")
         .where(F.levenshtein("token", "alternative", distance) >= 0)
         .select("token", "alternative")
         .distinct()
@@ -92,10 +100,12 @@ def score(
 
 
 def top(scored: DataFrame, limit: int | None = LIMIT) -> DataFrame:
-    """The best documents of each query: score falling, then doc_id rising; ``place`` from 1."""
+    """The best documents of each query: score falling, then doc_id rising; ``place`` from 1.  Each task keeps ``limit``
+    rows of a query before they are exchanged.  Without a limit all matches are returned and not ranked: ``place`` is null."""
+    if limit is None:
+        return scored.select("query_id", "doc_id", "score", F.lit(None).cast("int").alias("place"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    placed = scored.select("query_id", "doc_id", "score", F.row_number().over(order).alias("place"))
-    return placed if limit is None else placed.where(F.col("place") <= limit)
+    return scored.select("query_id", "doc_id", "score", F.row_number().over(order).alias("place")).where(F.col("place") <= limit)
 
 
 def search_batch(

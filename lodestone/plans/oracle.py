@@ -100,7 +100,9 @@ placed AS (
 def _search(source: Source, texts: list[str], mode: str | None = None, keep: str = "k = n_terms", limit: int | None = 100) -> str:
     fuzzy = [_GRAMS, _queries(texts), _alternatives(mode)] if mode else [_queries(texts)]
     ctes = ",\n".join([_index(source), *fuzzy, _TERMS[bool(mode)], _scores(keep)])
-    return f"WITH {ctes}\nSELECT query_id, doc_id, score, place FROM placed" + (f" WHERE place <= {limit}" if limit else "")
+    if limit is None:
+        return f"WITH {ctes}\nSELECT query_id, doc_id, score FROM scored"
+    return f"WITH {ctes}\nSELECT query_id, doc_id, score, place FROM placed WHERE place <= {limit}"
 
 
 def _over(source: Source, select: str, *more: str) -> str:

@@ -202,14 +202,14 @@ def search_result_json(spark, folder):
 def search_all_matches(spark, folder):
     """Every match of a conjunction, without the cut."""
     found = search.search_batch(_ask(spark, ["winter ferry"]), _index(spark, folder, DOCUMENTS), limit=None)
-    return found.select("query_id", "doc_id", "score", "place")
+    return found.select("query_id", "doc_id", "score")
 
 
 @query
 def search_any_term(spark, folder):
     """Documents with at least one of the terms in a field."""
     found = search.search_batch(_ask(spark, ["winter ferry"]), _index(spark, folder, DOCUMENTS), limit=None, mode="or")
-    return found.select("query_id", "doc_id", "score", "place")
+    return found.select("query_id", "doc_id", "score")
 
 
 @query
@@ -285,7 +285,7 @@ def token_blocks(spark, folder):
 @query
 def sparse_lookup_asof(spark, folder):
     found = blocks.token_blocks(index.postings(_cells(spark, folder, PRODUCTS)))
-    return blocks.block_of_tokens(found, _asked(spark))
+    return blocks.block_of_tokens(found, [r.token for r in _asked(spark).collect()])
 
 
 @query
