@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NGRAM_LENGTHS = (10, 20, 50)
-#: Windows that are sorted at once; longer texts take several passes over parts of the range of hashes.
+#: Windows that are hashed and sorted at once; longer texts take several passes, each over a part of the range of hashes.
 WINDOWS = 1 << 22
 
 
@@ -34,6 +34,12 @@ def letter_codes():
     return np.where(letters, x | np.uint64(1), np.uint64(0))
 
 
+@lru_cache(maxsize=1)
+def is_letter():
+    """For every code point whether it counts."""
+    return letter_codes() != 0
+
+
 def window_hashes(codes, length: int):
     """Hash of codes[i : i + length] for each i, from hashes of windows of doubling length."""
     import numpy as np
@@ -59,19 +65,29 @@ def window_hashes(codes, length: int):
     return out
 
 
-def repeated_windows(codes, length: int, windows: int = WINDOWS):
+def _hashes_of_part(letters, length: int, windows: int, part: int, parts: int):
+    """Starts and hashes of the windows whose hash falls into a part of its range, hashed a piece of the text at a time."""
+    import numpy as np
+
+    table, at, hashes = letter_codes(), [], []
+    for start in range(0, len(letters) - length + 1, windows):
+        own = window_hashes(table[letters[start : start + windows + length - 1]], length)
+        places = np.flatnonzero(own % np.uint64(parts) == part) if parts > 1 else np.arange(len(own))
+        at.append(places + start)
+        hashes.append(own[places] if parts > 1 else own)
+    return (np.concatenate(at), np.concatenate(hashes)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def repeated_windows(letters, length: int, windows: int = WINDOWS):
     """Sorted starts of the windows that equal a window started earlier."""
     import numpy as np
 
-    hashes = window_hashes(codes, length)
     found = []
-    passes = max(1, -(-len(hashes) // windows))
-    share = hashes % np.uint64(passes) if passes > 1 else None
-    for k in range(passes):
-        at = np.arange(len(hashes)) if share is None else np.flatnonzero(share == k)
+    parts = max(1, -(-(len(letters) - length + 1) // windows))
+    for part in range(parts):
+        at, own = _hashes_of_part(letters, length, windows, part, parts)
         if len(at) < 2:
             continue
-        own = hashes[at]
         order = np.argsort(own, kind="stable")
         ordered = own[order]
         same = ordered[1:] == ordered[:-1]
@@ -82,12 +98,12 @@ def repeated_windows(codes, length: int, windows: int = WINDOWS):
         later, first = at[order[~head]], first[~head]
         equal = np.ones(len(later), bool)
         for i in range(length):
-            equal &= codes[later + i] == codes[first + i]
+            equal &= letters[later + i] == letters[first + i]
         found.append(later[equal])
         if not equal.all():  # two different windows have one hash: settle these by their content
-            seen = {codes[i : i + length].tobytes() for i in np.unique(first[~equal])}
+            seen = {letters[i : i + length].tobytes() for i in np.unique(first[~equal])}
             for i in np.sort(later[~equal]):
-                key = codes[i : i + length].tobytes()
+                key = letters[i : i + length].tobytes()
                 if key in seen:
                     found.append(np.array([i]))
                 seen.add(key)
@@ -108,9 +124,8 @@ def measure(text: str, lengths: tuple[int, ...], windows: int = WINDOWS) -> tupl
     import numpy as np
 
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = letter_codes()[points]
-    codes = codes[codes != 0]
-    return len(codes), [covered(repeated_windows(codes, n, windows), n) for n in lengths]
+    letters = points[is_letter()[points]]
+    return len(letters), [covered(repeated_windows(letters, n, windows), n) for n in lengths]
 
 
 def repeated_lines(text: str) -> tuple[int, int]:
@@ -156,7 +171,7 @@ def repetition(
     characters in repeated lines.
 
     Shares are 0 for null and empty texts and those shorter than n.  Ids may be null or repeated; other columns are not
-    read.  Whole texts are measured; sorting, which takes most memory, is done on ``windows`` windows at a time.
+    read.  Whole texts are measured; beside a few copies of the text itself, memory is bounded by ``windows``.
     """
     lengths = tuple(dict.fromkeys(int(n) for n in ngram_lengths))
     if not lengths or min(lengths) < 1:
