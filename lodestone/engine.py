@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.errors import ParseError
+from lodestone.errors import ParseError, ValidationError
 from lodestone.mapping import Field, Mapping, check_name
 from lodestone.operators import layout as lay
 from lodestone.operators import search as se
@@ -35,13 +35,22 @@ class Engine:
 
         parsed = Mapping.of(mapping)
         parsed.validate(check_name(name), self.store.names())
+        self._check_case(parsed)
         self.store.commit(name, State(0, parsed))
         return {"status": "created"}
 
+    def _check_case(self, mapping: Mapping) -> None:
+        """Fields may differ in case only, if the session tells such columns apart."""
+        different = len({f.name.lower() for f in mapping.fields}) == len(mapping.fields)
+        if not different and self.spark.conf.get("spark.sql.caseSensitive") != "true":
+            raise ValidationError("field names that differ in case only need spark.sql.caseSensitive=true")
+
     def update_mapping(self, name: str, new_field: Field | dict | tuple) -> dict[str, str]:
         """Adds a field; documents that are there do not have it."""
         state = self.store.state(name)
-        self.store.commit(name, replace(state, mapping=state.mapping.with_field(new_field)))
+        changed = state.mapping.with_field(new_field)
+        self._check_case(changed)
+        self.store.commit(name, replace(state, mapping=changed))
         return {"status": "mapping_updated"}
 
     def index_docs(self, name: str, docs: Any, on_error: str = "raise", stream: tuple[str, int] | None = None) -> dict[str, Any]:

@@ -98,6 +98,21 @@ def test_errors(engine):
         engine.create_index("!!!invalid", MAPPING)
 
 
+def test_field_names_that_differ_in_case(spark, engine):
+    fields = [("t", "Text"), ("T", "Keyword", False), ("a-b", "Text", False)]
+    with pytest.raises(ValidationError):
+        engine.create_index("c", fields)
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        engine.create_index("c", fields)
+        engine.index_docs("c", [{"t": "lower", "T": "Upper", "a-b": "dash"}])
+        engine.flush()
+        for q in ("lower", "upper", "dash"):
+            assert [r.doc["T"] for r in engine.search("c", q).collect()] == ["Upper"]
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
 def test_two_writers_cannot_both_win(engine):
     state = engine.store.state("i")
     engine.store.commit("i", state)
