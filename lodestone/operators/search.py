@@ -75,6 +75,7 @@ def score(
     b: float = B,
     mode: str = "and",
     few_terms: bool = False,
+    exact: bool = False,
 ) -> DataFrame:
     """``(query_id, doc_id, score)`` of all matches of ``terms(query_id, n_terms, term_pos, token)``.
 
@@ -82,12 +83,18 @@ def score(
     of its tokens, and the document frequency of the term is the number of such documents in the field.
 
     Hits are exchanged once, by query and document; all that follows per document stays where it is.  ``few_terms`` tells
-    that the terms have been counted and are few: then they and their document frequencies are broadcast.
+    that the terms have been counted and are few: then they and their document frequencies are broadcast.  ``exact`` tells
+    that no term has alternatives: then each hit is a match by itself.
     """
     small = F.broadcast if few_terms else (lambda df: df)
-    hits = postings.join(small(terms), "token").repartition("query_id", "doc_id")
-    per_term = hits.groupBy("query_id", "n_terms", "field", "term_pos", "doc_id").agg(F.min(F.struct("token", "tf", "dl")).alias("m"))
-    frequency = per_term.groupBy("query_id", "field", "term_pos").agg(F.count("*").alias("df"))
+    found = postings.join(small(terms), "token")
+    hits = found.repartition("query_id", "doc_id")
+    keys, m = ["query_id", "n_terms", "field", "term_pos", "doc_id"], F.struct("token", "tf", "dl").alias("m")
+    per_term = hits.select(*keys, m) if exact else hits.groupBy(*keys).agg(F.min(m).alias("m"))
+    if exact:  # counted where the hits are read
+        frequency = found.groupBy("query_id", "field", "term_pos").agg(F.count("*").alias("df"))
+    else:  # counting m instead of rows keeps the columns of the exchange, so that it is run once and read twice
+        frequency = per_term.groupBy("query_id", "field", "term_pos").agg(F.count("m").alias("df"))
     # One row per field of the mapping.
     weighed = per_term.join(small(frequency), ["query_id", "field", "term_pos"]).join(F.broadcast(aggregates), "field")
     weight = bm25(F.col("m.tf"), F.col("m.dl"), F.col("df"), F.col("n_docs"), F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0)), k1, b)
@@ -134,7 +141,7 @@ def search_batch(
         wanted = sorted({r["token"] for r in rows})
         if len(wanted) <= NAMED:
             postings = postings.where(F.col("token").isin(wanted))
-    return top(score(terms, postings, field_aggregates(index.lengths), k1, b, mode, few), limit)
+    return top(score(terms, postings, field_aggregates(index.lengths), k1, b, mode, few, not fuzzy), limit)
 
 
 def with_docs(hits: DataFrame, docs: DataFrame) -> DataFrame:

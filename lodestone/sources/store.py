@@ -50,6 +50,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
+        self._opened: dict[str, tuple[int, ix.IndexTables]] = {}
 
     def folder(self, name: str) -> str:
         return f"{self.root}/indexes/{name}"
@@ -122,8 +123,13 @@ class Store:
         read = {t: self.spark.read.parquet(*(f"{base}/{s}/{t}" for s in segments)) for t in TABLES if t != "docs"}
         # Fields that were added later are null in older files.
         read["docs"] = self.spark.read.schema(self._doc_schema(state.mapping)).parquet(*(f"{base}/{s}/docs" for s in segments))
-        rows = [(f, n, t) for s in segments for f, (n, t) in state.lengths[s].items()]
-        read["lengths"] = ix.total_lengths(self.spark.createDataFrame(rows, "field string, n_docs bigint, total_tokens bigint"))
+        totals: dict[str, list[int]] = {}
+        for s in segments:
+            for f, (n, t) in state.lengths[s].items():
+                so_far = totals.setdefault(f, [0, 0])
+                so_far[0], so_far[1] = so_far[0] + n, so_far[1] + t
+        rows = [(f, n, t) for f, (n, t) in totals.items()]
+        read["lengths"] = self.spark.createDataFrame(rows, "field string, n_docs bigint, total_tokens bigint")
         tables = ix.IndexTables(**read)
         if len(segments) == 1:
             return tables
@@ -132,11 +138,15 @@ class Store:
     def tables(self, name: str, state: State | None = None) -> ix.IndexTables:
         """The whole index: segments, and the documents of the log analyzed as they are."""
         state = state or self.state(name)
-        stored = self.read_segments(name, state, state.segments)
-        if stored is not None and not state.log:
-            return stored
-        fresh = ix.build(self.read_log(name, state), state.mapping)
-        return fresh if stored is None else stored.union(fresh)
+        version, tables = self._opened.get(name, (0, None))
+        if version == state.version:  # a version never changes: its files need not be looked up again
+            return tables
+        tables = self.read_segments(name, state, state.segments)
+        if tables is None or state.log:
+            fresh = ix.build(self.read_log(name, state), state.mapping)
+            tables = fresh if tables is None else tables.union(fresh)
+        self._opened[name] = (state.version, tables)
+        return tables
 
     def flush(self, name: str, compact_at: int = COMPACT_AT) -> State:
         """Moves the log into a segment; with ``compact_at`` segments there already, into one with all of them.  Nothing
