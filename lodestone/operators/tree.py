@@ -8,7 +8,7 @@ is the logarithm of the number of chunks.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -18,33 +18,53 @@ from lodestone.functions.analyze import clean_term
 from lodestone.functions.newest import Newest
 
 FAN_IN = 32
+#: Chunks that are assumed where their number cannot be told before the plan runs.
+MOST_CHUNKS = 1 << 20
 _MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def estimated_chunks(rows: DataFrame) -> int:
-    """About how many tasks read ``rows``; only the number of rounds depends on it, never the result."""
-    spark = rows.sparkSession
-    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
-    except (AttributeError, TypeError):  # a client that has no plan at hand
-        return shuffled
-    return max(shuffled, min(size // split + 1, 1 << 24))
-
+def chunk_count(rows: DataFrame) -> int:
+    """How many tasks read ``rows``, or a number that is not less.
 
-def tree_aggregate(
+    A plan that exchanges nothing is asked for its partitions, which plans the files of its scans and runs no job.  One
+    that ends in an exchange without joins has at most the partitions of that exchange.  Of any other plan nothing is
+    known: :data:`MOST_CHUNKS`.
+    """
+    try:
+        physical = rows._jdf.queryExecution().executedPlan()
+        text = physical.toString()
+        if not any(word in text for word in ("Exchange", "AdaptiveSparkPlan", "Subquery")):
+            return max(1, rows._jdf.queryExecution().toRdd().getNumPartitions())
+        if physical.getClass().getSimpleName() == "AdaptiveSparkPlanExec" and "Join" not in text:
+            partitions = physical.initialPlan().outputPartitioning().numPartitions()
+            return partitions if partitions > 0 else MOST_CHUNKS
+    except AttributeError:  # a client that has no plan at hand
+        pass
+    return MOST_CHUNKS
+
+
+def rounds_of(chunks: int, fan_in: int) -> list[int]:
+    """The fan-in of each round: as few rounds as ``fan_in`` allows, but two at least where there are several chunks, and
+    all of them alike."""
+    rounds, reached = 1, fan_in
+    while reached < chunks:
+        rounds, reached = rounds + 1, reached * fan_in
+    rounds = max(rounds, 2 if chunks > 1 else 1)
+    width = 2
+    while width**rounds < chunks:
+        width += 1
+    return [width] * rounds
+
+
+def tree_levels(
     rows: DataFrame,
     keys: list[str],
     measures: dict[str, tuple[str, Column]],
     fan_in: int = FAN_IN,
     chunks: int | None = None,
-) -> DataFrame:
-    """``keys`` and one column per measure: ``{"n": ("sum", F.lit(1)), "last": ("max", F.col("ts"))}``.
-
-    Results equal those of ``groupBy(keys)``: nulls are keys of their own, nulls are skipped by the measures, an empty
-    table has no rows, further columns are not read.  Measures are merged by ``sum``, ``min`` or ``max``.
-    """
+) -> Iterator[DataFrame]:
+    """The states after each round, the last with one per key; columns as in the result of :func:`tree_aggregate`, and
+    ``_chunk``, the group of chunks that a state stands for."""
     if fan_in < 2:
         raise ValueError("fan_in must be 2 or more")
     if unknown := {how for how, _ in measures.values()} - set(_MERGES):
@@ -57,26 +77,49 @@ def tree_aggregate(
         F.spark_partition_id().alias("chunk"),
     )
     merge = [_MERGES[how](s).alias(s) for (how, _), s in zip(measures.values(), states)]
-    rounds = math.ceil(math.log(max(2, chunks or estimated_chunks(rows)), fan_in))
-    for k in range(rounds):
-        by = [*names, F.expr(f"chunk div {fan_in}").alias("chunk")] if k + 1 < rounds else names
-        out = out.groupBy(*by).agg(*merge)
-    return out.select(
-        *(F.col(n).alias(k) for k, n in zip(keys, names)), *(F.col(s).alias(m) for m, s in zip(measures, states))
-    )
+    widths = rounds_of(chunks or chunk_count(rows), fan_in)
+    for k, width in enumerate(widths):
+        last = k + 1 == len(widths)
+        out = out.groupBy(*names, *([] if last else [F.expr(f"chunk div {width}").alias("chunk")])).agg(*merge)
+        yield out.select(
+            *(F.col(n).alias(k) for k, n in zip(keys, names)),
+            *(F.col(s).alias(m) for m, s in zip(measures, states)),
+            (F.lit(0) if last else F.col("chunk")).alias("_chunk"),
+        )
+
+
+def tree_aggregate(
+    rows: DataFrame,
+    keys: list[str],
+    measures: dict[str, tuple[str, Column]],
+    fan_in: int = FAN_IN,
+    chunks: int | None = None,
+) -> DataFrame:
+    """``keys`` and one column per measure: ``{"n": ("sum", F.lit(1)), "last": ("max", F.col("ts"))}``.
+
+    Results equal those of ``groupBy(keys)``: nulls are keys of their own, nulls are skipped by the measures, an empty
+    table has no rows, further columns are not read.  Measures are merged by ``sum``, ``min`` or ``max``.  ``chunks`` is
+    the number of input tasks if it is known, else :func:`chunk_count` finds it.
+    """
+    *_, last = tree_levels(rows, keys, measures, fan_in, chunks)
+    return last.select(*keys, *measures)
 
 
 def stored_rows(postings: DataFrame, fan_in: int = FAN_IN, chunks: int | None = None) -> DataFrame:
-    """``(field, token, n_rows)``: the rows of each term as stored, with replays and rows that lack a document."""
-    rows = postings.select("field", clean_term(F.col("token")).alias("token")).where("token IS NOT NULL AND field IS NOT NULL")
+    """``(field, token, n_rows)``: the rows of each term as stored, with replays and rows that lack a document.  Rows that
+    name no term are counted under a null field or token."""
+    rows = postings.select("field", clean_term(F.col("token")).alias("token"))
     return tree_aggregate(rows, ["field", "token"], {"n_rows": ("sum", F.lit(1).cast("bigint"))}, fan_in, chunks)
 
 
 def frequent_terms(postings: DataFrame, share: float = 0.01, fan_in: int = FAN_IN, chunks: int | None = None) -> DataFrame:
-    """Terms with at least ``share`` of all rows of ``postings``, those that name no term included in the total."""
+    """``(field, token, n_rows)`` of terms with at least ``share`` of all rows of ``postings``, those that name no term
+    included in the total.  The total is the sum over the tree's last level, so the rows are read once."""
     part = Fraction(str(share))
-    least = -(-part.numerator * postings.count() // part.denominator)
-    return stored_rows(postings, fan_in, chunks).where(F.col("n_rows") >= least)
+    counts = stored_rows(postings, fan_in, chunks)
+    total = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).scalar()
+    enough = F.col("n_rows") * part.denominator >= total * part.numerator
+    return counts.where("field IS NOT NULL AND token IS NOT NULL").where(enough)
 
 
 def term_statistics(postings: DataFrame, fan_in: int = FAN_IN, chunks: int | None = None) -> DataFrame:
