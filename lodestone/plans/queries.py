@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cache, reduce
@@ -15,7 +14,7 @@ from lodestone.mapping import Mapping
 from lodestone.operators import blocks, incremental, index, layout, quantities, search, tree
 from lodestone.operators.documents import parse_documents, result_json
 from lodestone.plans.sources import DOCUMENTS, FUZZY, PARTS, PRODUCT_QUERIES, PRODUCTS, SEARCHES, Source
-from lodestone.session import checkpoint_folder
+from lodestone.session import scratch_folder
 from lodestone.sources.store import State, Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,7 +224,7 @@ def segment_union_search(spark, folder):
 @query
 def compaction_invariance(spark, folder):
     """All parts stored in three flushes, the last of which merges all segments, then searched from disk."""
-    store = Store(spark, f"{checkpoint_folder(spark)}/store-{uuid.uuid4().hex}")
+    store = Store(spark, scratch_folder(spark, "store"))
     store.commit("parts", State(0, _mapping(PARTS)))
     docs = _docs(spark, folder, PARTS)
     for k in range(3):
@@ -340,12 +339,13 @@ def p3_term_statistics(spark, folder):
 
 @query
 def p4_found(spark, folder):
-    return incremental.documents_to_process(_table(spark, folder, "ingest_log"), _table(spark, folder, "ingest_runs")).select("doc_id")
+    return p4_changes(spark, folder).select("doc_id")
 
 
 @query
 def p4_changes(spark, folder):
-    return incremental.documents_to_process(_table(spark, folder, "ingest_log"), _table(spark, folder, "ingest_runs"))
+    runs = _table(spark, folder, "ingest_runs")
+    return incremental.documents_to_process(spark, f"{folder}/ingest_log.parquet", runs, scratch_folder(spark, "p4"))
 
 
 @query
