@@ -10,14 +10,15 @@ Two aggregations give every weight: one per term over the records (its spread),
 The entropy needs no second look at the rows: sum(p log2 p) = sum(tf log2 tf) / T - log2 T.
 
 No step gathers a frequent term's records in one task.  Terms with more than a part in ``heavy_parts`` of all rows are
-found first, by counts that are combined before they are exchanged; there cannot be more than ``heavy_parts``.  Their
-rows are spread by document and their statistics broadcast.  Rows of all other terms are exchanged once, by term: replays
-are removed and the statistics taken where they arrive.
+found first, by counts that are combined before they are exchanged; there cannot be more than ``heavy_parts``.  All rows
+are then read once and exchanged once, by term, those of the frequent ones by term and a part of the documents; replays
+are removed and the statistics taken where the rows arrive.  Statistics of frequent terms are put together from those of
+the parts and broadcast, all others are joined where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,27 +57,40 @@ def with_term_statistics(postings: DataFrame, heavy_parts: int | None = None) ->
     parts = heavy_parts or hot_parts(postings.sparkSession)
     newest = Newest(postings.schema["segment_id"].dataType, postings.schema["tf"].dataType)
     rows, keys = clean_postings(postings), ["field", "token"]
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    # Not more than parts terms can have more than one part in parts of all rows.
-    top = counted.where(F.col("n") * parts > postings.count()).select(*keys).limit(parts).collect()
-    heavy = F.broadcast(postings.sparkSession.createDataFrame(top, "field string, token string"))
+    heavy = F.broadcast(heavy_terms(rows, parts)).withColumn("is_heavy", F.lit(True))
+    # A term that is not heavy has one part only: -1.
+    part = F.coalesce(F.when(F.col("is_heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), F.lit(-1)).alias("part")
+    spread = rows.join(heavy, keys, "left").select(*keys, part, "doc_id", "key").repartition(*keys, "part")
+    newest = newest.value(F.max("key")).alias("tf")
 
-    def current(some: DataFrame) -> DataFrame:
-        once = some.groupBy(*keys, "doc_id").agg(F.max("key").alias("key"))
-        return once.select(*keys, "doc_id", newest.value(F.col("key")).alias("tf"))
+    def current(condition: str) -> DataFrame:
+        # A condition that may not be moved: it stays above the exchange, so that one exchange serves both kinds of terms.
+        some = spread.where(F.monotonically_increasing_id() >= 0).where(condition)
+        return some.groupBy(*keys, "part", "doc_id").agg(newest)
 
     tf = F.col("tf").cast("double")
-    measures = {
-        "df": F.count(F.lit(1)),
-        "total": F.sum(F.col("tf").cast("bigint")),
-        "tf_log_tf": F.sum(F.when(tf > 0, tf * F.log2(tf)).otherwise(0.0)),
-    }
-    by_term = Window.partitionBy(*keys)
-    light = current(rows.join(heavy, keys, "left_anti").repartition(*keys))
-    light = light.select("*", *(m.over(by_term).alias(name) for name, m in measures.items()))
-    hot = current(rows.join(heavy, keys))
-    statistics = hot.groupBy(*keys).agg(*(m.alias(name) for name, m in measures.items()))  # a row for each heavy term
-    return light.unionByName(hot.join(F.broadcast(statistics), keys))
+    measures = [
+        F.count(F.lit(1)).alias("df"),
+        F.sum(F.col("tf").cast("bigint")).alias("total"),
+        F.sum(F.when(tf > 0, tf * F.log2(tf)).otherwise(0.0)).alias("tf_log_tf"),
+    ]
+    names = ["df", "total", "tf_log_tf"]
+    once, often = current("part < 0"), current("part >= 0")
+    light = once.join(once.groupBy(*keys, "part").agg(*measures).hint("shuffle_hash"), [*keys, "part"])
+    whole = often.groupBy(*keys, "part").agg(*measures).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names))
+    hot = often.join(F.broadcast(whole), keys)  # a row for each heavy term
+    return light.select(*keys, "doc_id", "tf", *names).unionByName(hot.select(*keys, "doc_id", "tf", *names))
+
+
+def heavy_terms(rows: DataFrame, parts: int) -> DataFrame:
+    """``(field, token)`` of terms with more than one part in ``parts`` of ``rows(field, token)``; not more than ``parts``
+    terms can have that, so they are held by the driver.  The total is counted by the same job."""
+    seen = Observation()
+    counted = rows.groupBy("field", "token").agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("total"))
+    top = counted.orderBy(F.col("n").desc(), "field", "token").limit(parts).collect()
+    total = (seen.get["total"] or 0) if top else 0
+    heavy = [(r["field"], r["token"]) for r in top if r["n"] * parts > total]
+    return rows.sparkSession.createDataFrame(heavy, "field string, token string")
 
 
 def term_weights(
