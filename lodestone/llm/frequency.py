@@ -4,9 +4,10 @@ Heavy-light aggregation.  The lists of a few terms hold much of all entries; the
 
 * Heavy terms are found by local counts (each task keeps only terms with a share of its own entries) and broadcast:
   at most ``2 * heavy_parts`` of them, so their size follows the number of tasks and not the data.
-* Entries of heavy terms are not shuffled.  Each task merges them into arrays of exact counters per heavy term, one
-  cell a record, which hold the current frequency; only the arrays travel, by term and range of records, are merged by
-  the same kernel, and leave one row per term and task.
+* Entries of heavy terms are merged where they are read, into arrays of exact counters per heavy term, one cell a
+  record, which hold the current frequency.  The arrays travel by term and range of records, so that a term fills many
+  tasks: a record may be listed again by an entry elsewhere, and counts once.  They are merged by the same kernel and
+  leave one row per term and task.
 * All other terms are shuffled by term with their lists unopened: one exchange serves the removal of repeated records
   and the counts.
 
@@ -31,6 +32,8 @@ COMMON_SHARE = 0.2
 FIELDS = 10_000
 #: Cells that a task holds before it merges them.
 CELLS = 1 << 20
+#: Rows that a task holds before it groups them.
+ROWS = 1 << 17
 #: Records per array that travels.
 RANGE_BITS = 16
 
@@ -40,14 +43,21 @@ def _local_shares(parts: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        held = None
+        def summed(tables: list) -> pa.Table:
+            sums = pa.concat_tables(tables).group_by(["field_id", "token"]).aggregate([("n", "sum")])
+            return sums.rename_columns({"n_sum": "n"}).select(["field_id", "token", "n"])
+
+        tables, n, limit = [], 0, ROWS
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            sums = table.group_by(["field_id", "token"]).aggregate([("n", "sum")])
-            held = sums.rename_columns({"n_sum": "n"}).select(["field_id", "token", "n"])
-        if held is None:
+            tables.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n >= limit:  # what is held is grouped anew only when it has doubled
+                tables = [summed(tables)]
+                n = len(tables[0])
+                limit = max(ROWS, 2 * n)
+        if not tables:
             return
+        held = summed(tables)
         total = pc.sum(held["n"]).as_py()
         heavy = held.filter(pc.greater(held["n"], total // (2 * parts)))
         yield from heavy.append_column("total", pa.array([0] * len(heavy), pa.int64())).to_batches()
@@ -197,6 +207,15 @@ def term_counts(token_entries: DataFrame, heavy_parts: int | None = None, cells:
     return light_counts.unionByName(heavy_counts)
 
 
+def field_records(token_entries: DataFrame) -> DataFrame:
+    """``(field_id, field_docs)``: the distinct records that the terms of a field list.  64 neighbouring ids are bits of one
+    number, which each task merges before the exchange: dense ids travel as an eighth of a byte or less."""
+    listed = entries_of(token_entries).select("field_id", F.explode("docs.doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(doc_id & 63 AS INT))")
+    words = listed.groupBy("field_id", F.shiftright(F.col("doc_id").cast("bigint"), 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return words.groupBy("field_id").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("field_docs"))
+
+
 def term_marks(
     token_entries: DataFrame,
     rare_docs: int = RARE_DOCS,
@@ -206,14 +225,7 @@ def term_marks(
     """:func:`term_counts` with ``field_docs``, the distinct records that the terms of the field list altogether, and
     ``mark``: ``rare`` (in at most ``rare_docs`` records), ``common`` (in more than ``common_share`` of ``field_docs``)
     or null; a term that is both is ``rare``."""
-    per_field = (
-        entries_of(token_entries)
-        .select("field_id", F.explode("docs.doc_id").alias("doc_id"))
-        .where("doc_id IS NOT NULL")
-        .distinct()
-        .groupBy("field_id")
-        .agg(F.count("*").alias("field_docs"))
-    )
+    per_field = field_records(token_entries)
     counts = term_counts(token_entries, heavy_parts).join(small_side(per_field, FIELDS), "field_id")
     part = Fraction(str(common_share))
     common = F.col("n_docs") * part.denominator > F.col("field_docs") * part.numerator
