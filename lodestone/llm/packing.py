@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.tokenizing import COPIES, PIECE_CHARS, VOCABULARY, encode_corpus
 
 CAPACITY = 2_048
-#: Items that one worker packs at once: 16 bytes each, whatever the size of the corpus.
+#: Items that one worker packs at once, a few dozen bytes each.  Of an item over the capacity only the rest counts here: its
+#: full parts are written out as they come.
 BLOCK = 1 << 20
+#: Parts of long items that are written out at once.
+SLICE = 1 << 16
 
 
 def patterns(counts, capacity: int, backfill: bool = True) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -87,44 +90,60 @@ def pack_block(sizes, capacity: int, backfill: bool = True):
     return container, start
 
 
-def _packer(capacity: int, block: int, backfill: bool):
-    def pack(rows: list, worker: int, first: int):
+def _packer(capacity: int, block: int, backfill: bool, piece: int = SLICE):
+    def batch(ids, part, token_from, size, container, start):
         import numpy as np
         import pyarrow as pa
 
-        table = pa.Table.from_batches(rows)
-        copies = table.column("copies").to_numpy()
-        item = np.repeat(np.arange(len(copies)), copies)
-        lengths = table.column("n_tokens").to_numpy()[item]
-        parts = np.maximum(1, -(-lengths // capacity))
-        row = np.repeat(np.arange(len(lengths)), parts)
-        part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-        size = np.minimum(capacity, lengths[row] - part * capacity)
-        some = size > 0
-        container, start = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-        container[some], start[some] = pack_block(size[some], capacity, backfill)
-        used = int(container[some].max()) + 1 if some.any() else 0
-        ids = table.column("id").combine_chunks().take(pa.array(item[row]))
-        out = pa.RecordBatch.from_arrays(
-            [ids, pa.array(part.astype(np.int32)), pa.array(part * capacity), pa.array(size.astype(np.int32)),
-             pa.array((worker << 40) + first + container, mask=~some), pa.array(start.astype(np.int32), mask=~some)],
+        none = container < 0
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(part.astype(np.int32)), pa.array(token_from), pa.array(size.astype(np.int32)),
+             pa.array(container, mask=none), pa.array(start.astype(np.int32), mask=none)],
             names=["id", "part", "token_from", "n_tokens", "container_id", "start"],
         )
-        return out, first + used
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
         from pyspark import TaskContext
 
-        worker, first, held, n = TaskContext.get().partitionId(), 0, [], 0
-        for batch in batches:
-            held.append(batch)
-            n += int(batch.column(2).to_numpy().sum())
-            if n >= block:
-                out, first = pack(held, worker, first)
-                held, n = [], 0
-                yield out
+        base, held, n = TaskContext.get().partitionId() << 40, [], 0
+
+        def pack():
+            """The rests of the held items; further containers are numbered from the last one on."""
+            ids, parts, sizes = pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[i] for x in held]) for i in (1, 2))
+            some = sizes > 0
+            container, start = np.full(len(sizes), -1, np.int64), np.zeros(len(sizes), np.int64)
+            container[some], start[some] = pack_block(sizes[some], capacity, backfill)
+            used = int(container.max()) + 1 if len(sizes) else 0
+            return batch(ids, parts, parts * capacity, sizes, np.where(some, base + container, -1), start), used
+
+        for rows in batches:
+            copies, lengths = rows.column(2).to_numpy(), rows.column(1).to_numpy()
+            full = lengths // capacity
+            # Full parts: a container each, whatever the other items are.
+            ends = np.cumsum(full * copies)
+            total = int(ends[-1]) if len(ends) else 0
+            for low in range(0, total, piece):
+                at = np.arange(low, min(total, low + piece))
+                row = np.searchsorted(ends, at, side="right")
+                part = (at - (ends[row] - full[row] * copies[row])) % full[row]
+                size = np.full(len(at), capacity)
+                yield batch(rows.column(0).take(pa.array(row)), part, part * capacity, size, base + at - low, np.zeros(len(at)))
+                base += len(at)
+            rest = lengths - full * capacity
+            keep = np.flatnonzero((rest > 0) | (full == 0))
+            ends = np.cumsum(copies[keep])
+            for low in range(0, int(ends[-1]) if len(ends) else 0, block):
+                own = keep[np.searchsorted(ends, np.arange(low, min(int(ends[-1]), low + block)), side="right")]
+                held.append((rows.column(0).take(pa.array(own)), full[own], rest[own]))
+                n += len(own)
+                if n >= block:
+                    out, used = pack()
+                    base, held, n = base + used, [], 0
+                    yield out
         if n:
-            yield pack(held, worker, first)[0]
+            yield pack()[0]
 
     return run
 
@@ -138,8 +157,8 @@ def pack_sizes(sizes: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, b
     null ``container_id`` and ``start``.  Repeated rows are packed as often as they occur.  The result is the same when
     a task is repeated: rows are ordered by a hash before they are taken in blocks.
     """
-    if capacity < 1:
-        raise ValueError("capacity must be 1 or more")
+    if capacity < 1 or block < 1:
+        raise ValueError("capacity and block must be 1 or more")
     kind = sizes.schema["id"].dataType.simpleString()
     rows = sizes.select("id", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"))
     # Equal rows travel as a number of copies, in runs, so that no worker gets all rows of one id.

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm.packing import pack_block, pack_documents, pack_sizes
+from lodestone.llm.packing import _packer, pack_block, pack_documents, pack_sizes
 from lodestone.llm.tokenizing import VOCABULARY, load
 
 
@@ -61,6 +65,25 @@ def test_many_copies_of_one_row_are_spread(spark):
     assert got.groupBy("container_id").count().where("count > 3").count() == 0
 
 
+def test_memory_does_not_follow_the_parts(monkeypatch):
+    """20,000 items of 196 parts each, 3.9 million parts, in one worker; and rows that stand for many copies."""
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 3)))
+    rows = pa.RecordBatch.from_pydict({"id": pa.array(range(10_000)), "n_tokens": pa.array([400_001] * 10_000), "copies": pa.array([1] * 10_000)})
+    many = pa.RecordBatch.from_pydict({"id": pa.array([7, 8]), "n_tokens": pa.array([2_500, 452]), "copies": pa.array([65_536] * 2)})
+    tracemalloc.start()
+    parts = tokens = 0
+    containers = set()
+    for out in _packer(2_048, 1 << 16, True)(iter([rows, rows, many])):
+        parts, tokens = parts + len(out), tokens + int(out.column(3).to_numpy().sum())
+        assert len(out) <= 1 << 17
+        first, last = out.column(4).to_numpy().min(), out.column(4).to_numpy().max()
+        assert all(last < a or first > b for a, b in containers)
+        containers.add((first, last))
+    assert parts == 20_000 * 196 + 3 * 65_536 and tokens == 20_000 * 400_001 + 65_536 * 2_952
+    assert tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() < 100 << 20
+    tracemalloc.stop()
+
+
 def test_documents(spark):
     texts = ["", None, "a b c " * 900, "short", "short", "x" * 3_000]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, part int")
