@@ -49,6 +49,17 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"))
 
 
+def p7_by_length(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts packed by their length in characters, and what has to hold of any packing: what is in containers of each
+    document, in how many parts, and whether all containers with a part of it hold no more than they can."""
+    documents, capacity = _table(spark, folder, "documents"), 8_192
+    packed = packing.pack_sizes(documents.select(F.col("doc_id").alias("id"), F.length("text").alias("n_tokens")), capacity)
+    fill = packed.groupBy("container_id").agg((F.sum("n_tokens") <= capacity).alias("fits"))
+    return packed.join(fill, "container_id", "left").groupBy(F.col("id").alias("doc_id")).agg(
+        F.sum("n_tokens").alias("n_chars"), F.count("*").alias("n_parts"), F.coalesce(F.bool_and("fits"), F.lit(True)).alias("fits")
+    )
+
+
 def p8_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition(_table(spark, folder, "documents"))
 
@@ -60,5 +71,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_term_counts, p2_found, p2_log_entropy, p2_bm25, p6_ids, p7_containers, p8_found, p8_repetition)
+    for f in (p1_found, p1_term_counts, p2_found, p2_log_entropy, p2_bm25, p6_ids, p7_containers, p7_by_length, p8_found, p8_repetition)
 }

@@ -52,6 +52,26 @@ _BM25 = (
 """
 )
 
+# The characters that end a line.
+_LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+def _repeats(lengths: tuple[int, ...]) -> str:
+    """CTEs ``letters(doc_id, s)`` and for each n ``r<n>(doc_id, n)``: letters in windows of n that were started earlier."""
+    out = [r"letters AS MATERIALIZED (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{L}]', '', 'g') AS s FROM documents)"]
+    for n in lengths:
+        out.append(f"""w{n} AS (
+  SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, substr(s, i, {n})) AS first
+  FROM (SELECT doc_id, s, unnest(generate_series(1, length(s) - {n - 1})) AS i FROM letters)
+), r{n} AS (
+  SELECT doc_id, CAST(sum(least(coalesce(next - i, {n}), {n})) AS BIGINT) AS n
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM w{n} WHERE i > first) GROUP BY doc_id
+)""")
+    return ", ".join(out)
+
+
+_SHARES = ", ".join(f"coalesce(r{n}.n, 0) AS repeated_{n}, CASE WHEN length(s) > 0 THEN coalesce(r{n}.n, 0) / length(s) ELSE 0 END AS share_{n}" for n in (10, 20, 50))
+
 SQL: dict[str, str] = {
     "p1_term_counts": _COUNTS,
     "p1_found": f"SELECT field_id, token FROM ({_COUNTS}) WHERE mark IS NOT NULL",
@@ -70,4 +90,16 @@ FROM cur JOIN terms USING (field, token) JOIN fields USING (field)
 SELECT a.doc_id, a.token FROM places a JOIN places b USING (doc_id)
 WHERE a.place = 1 AND b.place = 2 AND a.weight >= 2 * b.weight
 """,
+    "p7_by_length": """SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars,
+CAST(greatest(1, ceil(coalesce(length(text), 0) / 8192)) AS BIGINT) AS n_parts, true AS fits FROM documents""",
+    "p8_found": f"WITH {_repeats((20,))} SELECT doc_id FROM letters JOIN r20 USING (doc_id) WHERE n * 10 >= length(s) * 3",
+    "p8_repetition": f"""WITH {_repeats((10, 20, 50))}, pieces AS (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+  FROM (SELECT doc_id, string_split_regex(text, '{_LINE_ENDS}') AS parts FROM documents)
+), lines AS (
+  SELECT doc_id, length(line) AS n, i > min(i) OVER (PARTITION BY doc_id, line) AS again
+  FROM (SELECT doc_id, i, trim(line, {_SPACE}) AS line FROM pieces) WHERE line <> ''
+), totals AS (SELECT doc_id, sum(n) AS n, sum(n) FILTER (WHERE again) AS again FROM lines GROUP BY doc_id)
+SELECT letters.doc_id, length(s) AS n_letters, {_SHARES}, coalesce(totals.again / totals.n, 0) AS share_lines
+FROM letters LEFT JOIN r10 USING (doc_id) LEFT JOIN r20 USING (doc_id) LEFT JOIN r50 USING (doc_id) LEFT JOIN totals USING (doc_id)""",
 }
