@@ -194,3 +194,16 @@ SQL["p4_changes"] = f"""WITH rows_ AS (
 SELECT doc_id, CASE WHEN before IS NULL THEN 'added' ELSE 'changed' END AS change FROM docs
 WHERE n > 0 AND (before IS NULL OR before IS DISTINCT FROM after)"""
 SQL["p4_found"] = f"SELECT doc_id FROM ({SQL['p4_changes']})"
+
+SQL["p5_units"] = """WITH means AS (
+  SELECT source, avg(ln(n_chars) - ln(length(text))) AS m, count(*) AS n_rows FROM documents
+  WHERE source IS NOT NULL AND n_chars > 0 AND length(text) > 0 GROUP BY source
+), tried AS (
+  SELECT source, n_rows, unit, abs(m + ln(factor)) AS residual
+  FROM means, (VALUES ('char', 1), ('dozen', 12), ('thousand', 1000)) u(unit, factor)
+), ranked AS (
+  SELECT *, lead(residual) OVER (PARTITION BY source ORDER BY residual, unit) AS second,
+         row_number() OVER (PARTITION BY source ORDER BY residual, unit) AS place FROM tried
+)
+SELECT source, unit AS unit_n_chars, 'char' AS unit_counted, round(residual, 6) AS residual, n_rows, second - residual > 0.02 AS is_unique
+FROM ranked WHERE place = 1"""

@@ -356,3 +356,11 @@ def p5_found(spark, folder):
 @query
 def p5_contents(spark, folder):
     return quantities.package_contents(*(_table(spark, folder, t) for t in ("products", "feeds", "unit_factors")))
+
+
+@query
+def p5_units(spark, folder):
+    """The unit in which each source counts the length of its texts, from what the texts themselves are long."""
+    rows = _table(spark, folder, "documents").select("source", "n_chars", F.length("text").alias("counted"))
+    units = {"n_chars": {"char": 1.0, "dozen": 12.0, "thousand": 1000.0}, "counted": {"char": 1.0}}
+    return quantities.infer_units(rows, "source", {"n_chars": 1, "counted": -1}, units).withColumn("residual", F.round("residual", 6))
