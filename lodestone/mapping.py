@@ -15,7 +15,7 @@ from lodestone.errors import ParseError, ValidationError
 
 TYPES = {"Text": StringType(), "Keyword": StringType(), "Bool": BooleanType(), "Number": DoubleType()}
 INDEXED = ("Text", "Keyword")
-_NAME_RULE = "Name must be non-empty and contain only [a-zA-Z0-9_-]"
+_NAME_RULE = "a name is made of letters, digits, - and _, one at least"
 
 
 def valid_name(name: Any) -> bool:
@@ -98,12 +98,12 @@ class Mapping:
 
     def problems(self) -> list[str]:
         twice = sorted(n for n, k in Counter(f.name for f in self.fields).items() if k > 1)
-        return [f"Duplicate field names: {', '.join(twice)}"] if twice else []
+        return [f"fields declared more than once: {', '.join(twice)}"] if twice else []
 
     def validate(self, name: str | None = None, existing: Iterable[str] = ()) -> None:
         """Raises one error that tells everything that is wrong."""
         found = self.problems()
         if name is not None and name in set(existing):
-            found.append(f"Index with name: `{name}` exists already.")
+            found.append(f"there is an index {name} already")
         if found:
             raise ValidationError(" - ".join(found))

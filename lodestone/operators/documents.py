@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,13 @@ from lodestone.mapping import TYPES, Field, Mapping
 _SHAPES = {"Text": "STRING", "Keyword": "STRING", "Bool": "BOOLEAN", "Number": r"BIGINT|DOUBLE|DECIMAL\(.*\)"}
 
 
+def whole_object(text: Column) -> Column:
+    """A text as VARIANT if it is one whole JSON object, else null.  Text after the object, repeated keys and anything that
+    standard JSON does not know make it incomplete."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.when(alone & F.ltrim(text, F.lit(" \t\r\n")).startswith("{"), F.try_parse_json(text))
+
+
 def _value(variant: Column, name: str) -> Column:
     return F.try_variant_get(variant, f'$["{name}"]', "variant")
 
@@ -35,8 +43,7 @@ def parse_documents(rows: DataFrame, mapping: Mapping, column: str = "json", kee
     The first error in the order of declaration is told; ``doc`` is null with an error.  A null or blank text, or one
     that is no JSON object, is an error.
     """
-    whole = F.json_array_length(F.concat(F.lit("["), F.col(column), F.lit("]"))) == 1
-    variant = F.when(whole & F.ltrim(F.col(column)).startswith("{"), F.try_parse_json(F.col(column)))
+    variant = whole_object(F.col(column))
     parsed = rows.select(*keep, variant.alias("_variant"))
     v = F.col("_variant")
     error = F.when(v.isNull(), F.lit("the document is no JSON object"))
@@ -46,6 +53,48 @@ def parse_documents(rows: DataFrame, mapping: Mapping, column: str = "json", kee
     return parsed.select(*keep, F.when(F.col("error").isNull(), F.struct(*values)).alias("doc"), "error")
 
 
+class Undecided(Exception):
+    """A text that the driver leaves to :func:`parse_documents`."""
+
+
+def parse_document(text: str, mapping: Mapping) -> tuple[dict | None, str | None]:
+    """``(doc, error)`` of one text, by the rules of :func:`parse_documents` but without a job; raises :class:`Undecided`
+    for numbers and characters that the two might take differently."""
+
+    def pairs(items: list) -> dict:
+        found = dict(items)
+        if len(found) != len(items):
+            raise ValueError("a repeated key")
+        return found
+
+    def constant(name: str):
+        raise ValueError(f"{name} is no JSON")
+
+    try:
+        value = json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+        text.encode("utf-8")
+    except (RecursionError, UnicodeEncodeError) as e:
+        raise Undecided from e
+    except ValueError:
+        value = None
+    if not isinstance(value, dict):
+        return None, "the document is no JSON object"
+    if "\\u" in text or any(isinstance(v, (int, float)) and not abs(v) < 1e300 for v in value.values()):
+        raise Undecided
+    kinds = {"Text": str, "Keyword": str, "Bool": bool, "Number": (int, float)}
+    doc = {}
+    for f in mapping.fields:
+        v = value.get(f.name)
+        if v is None:
+            if f.required:
+                return None, f'key "{f.name}" not found'
+        elif not isinstance(v, kinds[f.s_type]) or (f.s_type == "Number" and isinstance(v, bool)):
+            return None, f'key "{f.name}" is not of type {f.s_type}'
+        else:
+            doc[f.name] = float(v) if f.s_type == "Number" else v
+    return doc, None
+
+
 def typed_documents(rows: DataFrame, mapping: Mapping, id_column: str | None = None) -> DataFrame:
     """``(doc_id, doc, error)`` from columns named as the fields; columns of another type are an error of the call, a
     null in a required field one of the row."""

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.documents import whole_object
 from lodestone.sources.versions import CHANGE, VersionedTable, process_changes
 
 SUCCESS = "ok"
@@ -67,13 +68,6 @@ def unprocessed_rows(rows: DataFrame, runs: DataFrame, pieces: int = PIECES) ->
     return joined.where(~F.coalesce(inside, F.lit(False))).drop("_day", "_landed", "_windows")
 
 
-def complete_body(body: Column) -> Column:
-    """The body as VARIANT if it is one whole JSON object, else null.  Text after the object, repeated keys and anything
-    that standard JSON does not know make it incomplete."""
-    alone = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
-    return F.when(alone & F.ltrim(body).startswith("{"), F.try_parse_json(body))
-
-
 def content(parsed: Column) -> list[Column]:
     """The values that make two states of a document equal; numbers by value, however they are written."""
 
@@ -91,7 +85,7 @@ def newest_states(rows: DataFrame) -> DataFrame:
     A state is when and where it was written, and a digest of its content in 128 bits, so that rows are narrow where they
     are sorted and exchanged.  Each document's rows are combined before the exchange: one may hold any share.
     """
-    whole = rows.where("doc_id IS NOT NULL").select("doc_id", "log_pos", "written_at", complete_body(F.col("body")).alias("parsed"))
+    whole = rows.where("doc_id IS NOT NULL").select("doc_id", "log_pos", "written_at", whole_object(F.col("body")).alias("parsed"))
     values = [F.col(f"c{i}") for i in range(5)]
     read = whole.where("parsed IS NOT NULL").select(
         "doc_id", "log_pos", "written_at", *(c.alias(f"c{i}") for i, c in enumerate(content(F.col("parsed"))))

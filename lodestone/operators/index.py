@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.analyze import keyword, tokens, trigrams
 from lodestone.mapping import Mapping
-from lodestone.session import checkpointed
+from lodestone.session import checkpointed, local_table
 
 #: Sort order of each stored table: a lookup by its first columns reads few row groups.
 ORDER = {"docs": ["doc_id"], "postings": ["token", "field", "doc_id"], "field_stats": ["field", "doc_id"], "trigrams": ["trigram", "field"], "grams": ["trigram", "field", "token"]}
@@ -62,17 +62,17 @@ def field_stats(fields_of_docs: DataFrame) -> DataFrame:
 
 def placed_tokens(fields_of_docs: DataFrame) -> DataFrame:
     """``(field, token, doc_id, tf, dl, pos)``: postings with the first place of the token in the field.  The key holds
-    the document, so no token can fill one task."""
+    the document, so no token can fill one task.  A field without tokens leaves one row, with a null token, at place 0."""
+    opened = fields_of_docs.select("field", "doc_id", F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("pos", "token"))
     return (
-        fields_of_docs.select("field", "doc_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "token"))
-        .groupBy("field", "token", "doc_id")
-        .agg(F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"), F.min("pos").alias("pos"))
+        opened.groupBy("field", "token", "doc_id")
+        .agg(F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"), F.coalesce(F.min("pos"), F.lit(0)).alias("pos"))
     )
 
 
 def postings(fields_of_docs: DataFrame) -> DataFrame:
     """``(field, token, doc_id, tf, dl)``."""
-    return placed_tokens(fields_of_docs).drop("pos")
+    return placed_tokens(fields_of_docs).where("token IS NOT NULL").drop("pos")
 
 
 def first_tokens(grams: DataFrame) -> DataFrame:
@@ -85,12 +85,18 @@ def first_tokens(grams: DataFrame) -> DataFrame:
     )
 
 
-def build(docs: DataFrame, mapping: Mapping, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> IndexTables:
+def build(docs: DataFrame, mapping: Mapping, stage: Callable[[DataFrame], DataFrame] | None = None) -> IndexTables:
     """The tables of an index over ``docs(doc_id, doc)``.  Text fields give their tokens, Keyword fields one token, other
-    fields nothing; a null field gives nothing at all.  ``stage`` may write what several tables are made of, so that the
-    texts are analyzed once."""
+    fields nothing; a null field gives nothing at all.  ``stage`` may write what all tables but ``docs`` are made of, so
+    that the texts are analyzed once."""
     cells = analyzed(docs, mapping)
-    placed = stage(placed_tokens(cells))
+    placed = placed_tokens(cells)
+    stats = field_stats(cells)
+    if stage:
+        placed = stage(placed)
+        # Exactly one token of a field is its first, and a field without tokens has its row at place 0.
+        stats = placed.where("pos = 0").select("field", "doc_id", F.col("dl").alias("total_tokens"))
+    placed = placed.where("token IS NOT NULL")
     # A token has the same trigrams wherever it is: reduce to first places of tokens before trigrams multiply the rows.
     tokens_first = placed.groupBy("field", "token").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     grams = tokens_first.select(
@@ -99,10 +105,10 @@ def build(docs: DataFrame, mapping: Mapping, stage: Callable[[DataFrame], DataFr
     return IndexTables(
         docs=docs.select("doc_id", "doc"),
         postings=placed.drop("pos"),
-        field_stats=field_stats(cells),
+        field_stats=stats,
         trigrams=first_tokens(grams).select("field", "trigram", "token", "doc_id", "pos"),
         grams=grams.select("field", "trigram", "token"),
-        lengths=field_lengths(field_stats(cells)),
+        lengths=field_lengths(stats),
     )
 
 
@@ -141,7 +147,7 @@ def number_documents(rows: DataFrame, last_id: int, order: list[str]) -> DataFra
     for part in sorted(counts):
         starts.append((part, begin))
         begin += counts[part]
-    offsets = spark.createDataFrame(starts or [(0, begin)], "_part int, _start bigint")
+    offsets = local_table(spark, starts or [(0, begin)], "_part int, _start bigint")
     return (
         numbered.join(F.broadcast(offsets), "_part")  # one row a task
         .withColumn("doc_id", F.col("_start") + F.col("_seq"))

@@ -6,12 +6,16 @@ postings are the large side and are reduced to the queries' tokens before anythi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lodestone.functions.analyze import tokens, trigrams
 from lodestone.operators.index import IndexTables, field_aggregates
+from lodestone.session import hot_parts, local_table
 
 LIMIT, K1, B = 100, 1.2, 0.75
 #: Up to this many terms are held by the driver and broadcast; more stay a table and are joined as Spark sees fit.
@@ -32,41 +36,76 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return split.select("query_id", F.size("toks").alias("n_terms"), F.posexplode("toks").alias("term_pos", "token"))
 
 
+def literal_terms(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFrame:
+    """:func:`query_terms` of queries that the driver has: the same rule, without a job."""
+    rows = []
+    for number, text in queries:
+        split = [t.lower() for t in re.findall("[A-Za-z0-9]+", text)]
+        rows += [(number, len(split), i, t) for i, t in enumerate(split)]
+    return local_table(spark, rows, "query_id int, n_terms int, term_pos int, token string")
+
+
 def flat_trigrams(first: DataFrame) -> DataFrame:
     """``(trigram, token)`` over all fields: of several fields the one whose name sorts first decides."""
     return first.groupBy("trigram").agg(F.min_by("token", "field").alias("token"))
 
 
-def alternatives(terms: DataFrame, index: IndexTables, trigram_mode: str = "first", distance: int = 1) -> DataFrame:
+def alternatives(
+    terms: DataFrame, index: IndexTables, trigram_mode: str = "first", distance: int = 1, local_terms: int = LOCAL_TERMS
+) -> DataFrame:
     """``(token, alternative)`` for the distinct tokens of ``terms``: indexed tokens that share a trigram and differ by at
     most ``distance`` edits.  ``first`` knows one token per trigram, ``full`` all of them."""
     if trigram_mode not in ("first", "full"):
         raise ValueError("trigram_mode must be first or full")
     asked = terms.select("token").distinct().select("token", F.explode(F.array_distinct(trigrams(F.col("token")))).alias("trigram"))
     known = index.trigrams if trigram_mode == "first" else index.grams
-    rows = asked.limit(LOCAL_TERMS + 1).collect()
-    if len(rows) <= LOCAL_TERMS:
-        asked = F.broadcast(terms.sparkSession.createDataFrame(rows, asked.schema))
+    rows = asked.limit(local_terms + 1).collect()
+    few = len(rows) <= local_terms
+    if few:
+        asked = F.broadcast(local_table(terms.sparkSession, rows, asked.schema))
         wanted = sorted({r["trigram"] for r in rows})
         if len(wanted) <= NAMED:
             known = known.where(F.col("trigram").isin(wanted))
     known = flat_trigrams(known) if trigram_mode == "first" else known.select("trigram", "token").distinct()
+    known = known.withColumnRenamed("token", "alternative")
+    joined = known.join(asked, "trigram") if few else spread_join(known, asked, "trigram", "alternative")
     return (
-        known.withColumnRenamed("token", "alternative")
-        .join(asked, "trigram")
+        joined
         .where(F.levenshtein("token", "alternative", distance) >= 0)
         .select("token", "alternative")
         .distinct()
     )
 
 
-def expand(terms: DataFrame, index: IndexTables, trigram_mode: str = "first", distance: int = 1) -> DataFrame:
+def expand(
+    terms: DataFrame, index: IndexTables, trigram_mode: str = "first", distance: int = 1, local_terms: int = LOCAL_TERMS
+) -> DataFrame:
     """``terms`` with further rows for the alternatives of each token; the token itself always stays."""
-    found = alternatives(terms, index, trigram_mode, distance)
+    found = alternatives(terms, index, trigram_mode, distance, local_terms)
     more = terms.join(found, "token").select("query_id", "n_terms", "term_pos", F.col("alternative").alias("token"))
     return terms.unionByName(more).distinct()
 
 
+def spread_join(large: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """``large.join(small, key)`` where neither side can be broadcast and a few keys may hold much of ``large``.
+
+    Keys with more than one part in :func:`~lodestone.session.hot_parts` of the rows are counted first (there are not more
+    than that many).  Their rows in ``large`` are spread over that many tasks by the column ``by``, and what ``small`` has
+    of them is repeated as often; all others are joined by key.
+    """
+    spark, parts = large.sparkSession, hot_parts(large.sparkSession)
+    seen = Observation()
+    counted = large.groupBy(key).agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("total"))
+    largest = counted.orderBy(F.col("n").desc(), key).limit(parts).collect()
+    hot = [(r[key], parts) for r in largest if r["n"] * parts > seen.get["total"]]
+    spreads = F.broadcast(local_table(spark, hot, StructType([large.schema[key], StructField("_parts", IntegerType())])))
+    place = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).otherwise(0)
+    places = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+    left = large.join(spreads, key, "left").withColumn("_place", place).drop("_parts")
+    right = small.join(spreads, key, "left").withColumn("_place", places).drop("_parts")
+    return left.join(right, [key, "_place"]).drop("_place")
+
+
 def score(
     terms: DataFrame,
     postings: DataFrame,
@@ -87,7 +126,7 @@ def score(
     that no term has alternatives: then each hit is a match by itself.
     """
     small = F.broadcast if few_terms else (lambda df: df)
-    found = postings.join(small(terms), "token")
+    found = postings.join(small(terms), "token") if few_terms else spread_join(postings, terms, "token", "doc_id")
     hits = found.repartition("query_id", "doc_id")
     keys, m = ["query_id", "n_terms", "field", "term_pos", "doc_id"], F.struct("token", "tf", "dl").alias("m")
     per_term = hits.select(*keys, m) if exact else hits.groupBy(*keys).agg(F.min(m).alias("m"))
@@ -115,8 +154,14 @@ def top(scored: DataFrame, limit: int | None = LIMIT) -> DataFrame:
     return scored.select("query_id", "doc_id", "score", F.row_number().over(order).alias("place")).where(F.col("place") <= limit)
 
 
-def search_batch(
-    queries: DataFrame,
+def search_batch(queries: DataFrame, index: IndexTables, fuzzy: bool = False, *args, **options) -> DataFrame:
+    """``(query_id, doc_id, score, place)`` for ``queries(query_id, q)``; options as in :func:`search_terms`.  A query without
+    tokens has no hits."""
+    return search_terms(query_terms(queries), index, fuzzy, *args, **options)
+
+
+def search_terms(
+    terms: DataFrame,
     index: IndexTables,
     fuzzy: bool = False,
     trigram_mode: str = "first",
@@ -126,18 +171,18 @@ def search_batch(
     mode: str = "and",
     fields: list[str] | None = None,
     distance: int = 1,
+    local_terms: int = LOCAL_TERMS,
 ) -> DataFrame:
-    """``(query_id, doc_id, score, place)`` for ``queries(query_id, q)``.  A query without tokens has no hits."""
-    terms = query_terms(queries)
+    """``(query_id, doc_id, score, place)`` for the terms of queries, see :func:`query_terms`."""
     if fuzzy:
-        terms = expand(terms, index, trigram_mode, distance)
+        terms = expand(terms, index, trigram_mode, distance, local_terms)
     postings = index.postings
     if fields is not None:
         postings = postings.where(F.col("field").isin(fields))
-    rows = terms.limit(LOCAL_TERMS + 1).collect()
-    few = len(rows) <= LOCAL_TERMS
+    rows = terms.limit(local_terms + 1).collect()
+    few = len(rows) <= local_terms
     if few:
-        terms = queries.sparkSession.createDataFrame(rows, terms.schema)
+        terms = local_table(terms.sparkSession, rows, terms.schema)
         wanted = sorted({r["token"] for r in rows})
         if len(wanted) <= NAMED:
             postings = postings.where(F.col("token").isin(wanted))
@@ -151,6 +196,6 @@ def with_docs(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """
     rows = hits.limit(NAMED + 1).collect()
     if len(rows) <= NAMED:
-        hits = F.broadcast(hits.sparkSession.createDataFrame(rows, hits.schema))
+        hits = F.broadcast(local_table(hits.sparkSession, rows, hits.schema))
         docs = docs.where(F.col("doc_id").isin(sorted({r["doc_id"] for r in rows})))
     return docs.join(hits, "doc_id").select("query_id", F.col("doc_id").alias("id"), "score", "place", "doc")

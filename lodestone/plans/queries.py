@@ -228,9 +228,8 @@ def compaction_invariance(spark, folder):
     store.commit("parts", State(0, _mapping(PARTS)))
     docs = _docs(spark, folder, PARTS)
     for k in range(3):
-        state = store.state("parts")
         log = store.append_log("parts", docs.where(F.pmod("doc_id", F.lit(3)) == k))
-        store.commit("parts", replace(state, log=(log,)))
+        store.change("parts", lambda state: replace(state, log=(log,)))
         store.flush("parts", compact_at=2)
     found = search.search_batch(_ask(spark, SEARCHES["search_multi_field"][1]), store.tables("parts"))
     return found.select("query_id", "doc_id", "score", "place")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: int | str = "*", **settings: str) -> SparkSession:
@@ -53,10 +54,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def local_table(spark: SparkSession, rows: list, schema: str | StructType) -> DataFrame:
+    """Rows of the driver as a part of the plan: reading them takes no job."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    described = to_arrow_schema(fields)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(described)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=described), fields)
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df`` held by the driver and marked for broadcast if it has at most so many rows, else as it is."""
     found = df.limit(rows + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)) if len(found) <= rows else df
+    return F.broadcast(local_table(df.sparkSession, found, df.schema)) if len(found) <= rows else df
 
 
 def hot_parts(spark: SparkSession) -> int:

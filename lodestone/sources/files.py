@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from lodestone.errors import FileError
+
+#: File systems whose rename is atomic and fails if the target is there (fixed values: schemes of URIs).
+EXCLUSIVE = ("hdfs", "viewfs", "abfs", "abfss", "ofs", "o3fs")
 
 class Files:
     """Text files and folders below any path that Spark can read."""
@@ -33,7 +37,7 @@ class Files:
         fs, p = self._at(folder)
         if not fs.exists(p):
             return {}
-        found, files = {}, fs.listFiles(p, True)
+        found, files = {}, fs.listFiles(p, True)  # of a file, itself
         while files.hasNext():
             status = files.next()
             found[status.getPath().toString()] = status.getLen()
@@ -50,27 +54,45 @@ class Files:
     def write_new(self, path: str, text: str) -> bool:
         """Writes a file whole; False, and no change, if there is one of that name."""
         fs, p = self._at(path)
+        scheme = fs.getUri().getScheme()
+        if scheme != "file" and scheme not in EXCLUSIVE:
+            raise FileError(f"commits need an atomic rename that does not replace files; {scheme}: has none")
         if fs.exists(p):
             return False
         pending = self._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}.pending")
-        fs.mkdirs(p.getParent())
-        stream = fs.create(pending, False)
-        try:
-            stream.write(bytearray(text.encode("utf-8")))
-        finally:
-            stream.close()
-        if fs.getUri().getScheme() == "file":  # here a rename would replace the other run's file
+        self._create(fs, pending, text)
+        if scheme == "file":  # here a rename would replace the other run's file
             try:
                 os.link(pending.toUri().getPath(), p.toUri().getPath())
                 done = True
             except FileExistsError:
                 done = False
         else:
-            done = fs.rename(pending, p)
+            # FileContext, unlike FileSystem, tells whether the target was there.
+            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf)
+            try:
+                context.rename(pending, p, [])
+                done = True
+            except Exception:
+                if not fs.exists(p):
+                    raise
+                done = False
         if fs.exists(pending):
             fs.delete(pending, False)
         return done
 
+    def _create(self, fs, p, text: str) -> None:
+        fs.mkdirs(p.getParent())
+        stream = fs.create(p, False)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        """Writes a file of a name that nobody else uses."""
+        self._create(*self._at(path), text)
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

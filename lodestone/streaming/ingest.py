@@ -25,14 +25,22 @@ def stream_documents(
     checkpoint: str,
     stream: str = "stream",
     on_error: str = "skip",
+    rejects: str | None = None,
     flush_every: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Starts a query that indexes ``documents``, streaming rows as :meth:`Engine.index_docs` takes them; ``trigger`` as in
-    ``DataStreamWriter.trigger`` (``availableNow=True`` by default).  With ``flush_every`` n, each n-th batch ends in a flush."""
+    ``DataStreamWriter.trigger`` (``availableNow=True`` by default).  With ``flush_every`` n, each n-th batch ends in a flush.
+
+    With ``skip`` rejected documents go, with the error that each would have been told, into a folder for their batch below
+    ``rejects``, before the batch is committed; with ``raise`` a batch with one fails, and the query ends.
+    """
+    if on_error == "skip" and not rejects:
+        raise ValueError("name a folder for rejected documents, or let them end the stream with on_error='raise'")
 
     def take(batch: DataFrame, number: int) -> None:
-        engine.index_docs(name, batch, on_error, (stream, number))
+        folder = f"{rejects}/{stream}/batch={number}" if rejects else None
+        engine.index_docs(name, batch, on_error, (stream, number), folder)
         if flush_every and (number + 1) % flush_every == 0:
             engine.store.flush(name, engine.compact_at)
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -11,6 +13,7 @@ from lodestone.engine import Engine
 from lodestone.errors import FileError, ParseError, SearchError, ValidationError
 from lodestone.server import answer, serve
 from lodestone.sources.generator import products
+from lodestone.sources.store import to_merge
 from lodestone.streaming.ingest import json_lines, stream_documents
 
 MAPPING = [("some_text", "Text"), ("other_field", "Text")]
@@ -90,9 +93,9 @@ def test_added_field(spark, engine):
 
 def test_errors(engine):
     for call in (lambda: engine.search("no", "x"), lambda: engine.index_docs("no", {}), lambda: engine.update_mapping("no", ("a", "Text")), lambda: engine.layout("no")):
-        with pytest.raises(SearchError, match="No index found: no"):
+        with pytest.raises(SearchError, match="no index of the name no"):
             call()
-    with pytest.raises(ValidationError, match="exists already"):
+    with pytest.raises(ValidationError, match="there is an index i already"):
         engine.create_index("i", MAPPING)
     with pytest.raises(ValidationError):
         engine.create_index("!!!invalid", MAPPING)
@@ -162,7 +165,7 @@ def test_stream_equals_batch(spark, engine, tmp_path):
     for k in range(3):
         (folder / f"{k}.json").write_text("\n".join(lines[k::3]) + "\n")
     for _ in range(2):
-        stream_documents(engine, "i", json_lines(engine, str(folder), 1), str(tmp_path / "cp"), flush_every=2).awaitTermination()
+        stream_documents(engine, "i", json_lines(engine, str(folder), 1), str(tmp_path / "cp"), rejects=str(tmp_path / "bad"), flush_every=2).awaitTermination()
     engine.create_index("b", MAPPING)
     engine.index_docs("b", DOCS * 4)
     one, two = engine.tables("i"), engine.tables("b")
@@ -170,6 +173,10 @@ def test_stream_equals_batch(spark, engine, tmp_path):
     same = ["field", "token", "tf", "dl"]
     assert one.postings.select(same).exceptAll(two.postings.select(same)).count() == 0
     assert engine.index_docs("i", DOCS[0], stream=("stream", 0))["accepted"] == 0
+    bad = spark.read.json(str(tmp_path / "bad" / "stream")).collect()
+    assert [(r.text, r.error) for r in bad] == [("no json", "the document is no JSON object")]
+    with pytest.raises(ValueError):
+        stream_documents(engine, "i", json_lines(engine, str(folder), 1), str(tmp_path / "cp"))
 
 
 def test_http(engine):
@@ -197,3 +204,84 @@ def test_the_subpackage_for_text_is_not_needed():
     root = Path(__file__).resolve().parent.parent / "lodestone"
     others = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts]
     assert others and not any("lodestone.llm" in p.read_text() for p in others)
+
+
+def test_sixteen_writers(spark, engine):
+    """200 posts from 16 threads over two engines on one folder: all are taken, each id once."""
+    engines = [engine, Engine(spark, engine.store.root, compact_at=2)]
+    documents = [json.dumps(DOCS[k % 3] | {"other_field": f"n{k}"}) for k in range(200)]
+
+    def post(k):
+        if k % 70 == 40:
+            engines[k % 2].flush()
+        return answer(engines[k % 2], "POST", "/indexes/i/documents", documents[k])
+
+    with ThreadPoolExecutor(16) as pool:
+        answers = list(pool.map(post, range(200)))
+    assert answers == [(200, '{"status": "indexed"}')] * 200
+    docs = Engine(spark, engine.store.root).tables("i").docs.collect()
+    assert sorted(r.doc_id for r in docs) == list(range(1, 201)) and {r.doc.other_field for r in docs} == {f"n{k}" for k in range(200)}
+    began = time.perf_counter()
+    assert answer(engine, "POST", "/indexes/i/documents", documents[0])[0] == 200
+    assert time.perf_counter() - began < 0.5
+    assert engine.store.state("i").version > 200 and len(engine.store.vacuum("i")) > 200
+    assert engine.index_docs("i", DOCS[0])["accepted"] == 1 and len(engine.store._versions("i")) == 2
+
+
+def test_a_writer_of_a_pruned_version_is_told(spark, engine):
+    stale = engine.store.state("i")
+    engine.index_docs("i", DOCS[0])
+    engine.index_docs("i", DOCS[1])
+    engine.store.vacuum("i")
+    with pytest.raises(FileError):
+        engine.store.commit("i", stale)
+    assert engine.store._versions("i") == [engine.store.state("i").version]
+
+
+def test_writers_while_the_mapping_changes(engine, monkeypatch):
+    """A document that was checked under an older mapping is checked again."""
+    written = engine._written
+
+    def slow(*args):
+        part = written(*args)
+        monkeypatch.setattr(engine, "_written", written)
+        engine.update_mapping("i", ("new_field", "Bool"))
+        return part
+
+    monkeypatch.setattr(engine, "_written", slow)
+    with pytest.raises(ParseError, match="new_field"):
+        engine.index_docs("i", DOCS[0])
+    assert engine.store.state("i").log == ()
+
+
+def test_documents_are_rewritten_once_a_tier():
+    sizes, rewritten, numbers = {}, 0, 0
+    for k in range(1_000):
+        merged = to_merge(sizes, 1, 5)
+        moved = sum(sizes.pop(s) for s in merged)
+        rewritten, numbers = rewritten + moved, numbers + 1
+        sizes[str(numbers)] = moved + 1
+        assert len(sizes) <= 5 * 4
+    assert sum(sizes.values()) == 1_000 and rewritten <= 1_000 * 4
+    assert to_merge({"a": 1, "b": 1, "c": 1, "d": 1, "e": 1}, 1, 5) == set("abcde")
+    assert to_merge({"big": 10**9, "a": 1, "b": 1, "c": 1, "d": 1}, 1, 5) == set()
+
+
+def test_twenty_flushes(spark, engine):
+    for k in range(20):
+        engine.index_docs("i", {"some_text": f"word{k} all", "other_field": ""})
+        engine.flush()
+    found = [i for i, _ in hits(engine, "all")]
+    assert found == list(range(1, 21)) and [i for i, _ in hits(engine, "word7")] == [8]
+    assert len(engine.store.state("i").segments) <= 6
+    stats = engine.tables("i").field_stats.groupBy("field").sum("total_tokens").collect()
+    assert {r[0]: r[1] for r in stats} == {"some_text": 40, "other_field": 0}
+
+
+def test_rejected_documents_are_kept(spark, engine, tmp_path):
+    bad = ['{"some_text":"x"}', "no json"]
+    frame = spark.createDataFrame([(t,) for t in [*bad, json.dumps(DOCS[0])]], "json string")
+    for k, docs in enumerate(([*bad, DOCS[0]], frame)):
+        assert engine.index_docs("i", docs, "skip", rejects=f"{tmp_path}/r{k}") == {"status": "indexed", "accepted": 1, "rejected": 2}
+        got = {(r.text, r.error) for r in spark.read.json(f"{tmp_path}/r{k}").collect()}
+        assert got == {(bad[0], 'key "other_field" not found'), (bad[1], "the document is no JSON object")}

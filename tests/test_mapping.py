@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from lodestone.errors import ParseError, ValidationError
 from lodestone.mapping import TYPES, Mapping
-from lodestone.operators.documents import parse_documents, result_json, typed_documents
+from lodestone.operators.documents import Undecided, parse_document, parse_documents, result_json, typed_documents
 
 NAMES = st.text("abcXYZ019-_ä", min_size=1, max_size=30)
 FIELDS = st.lists(st.tuples(NAMES, st.sampled_from(list(TYPES)), st.booleans()), min_size=1, max_size=10, unique_by=lambda f: f[0])
@@ -35,7 +35,7 @@ def test_required_by_default():
 
 
 def test_all_problems_are_told():
-    with pytest.raises(ValidationError, match="^Duplicate field names: a, b - Index with name: `i` exists already.$"):
+    with pytest.raises(ValidationError, match="^fields declared more than once: a, b - there is an index i already$"):
         Mapping.of([("b", "Text"), ("a", "Text"), ("a", "Bool"), ("b", "Text")]).validate("i", ["i"])
 
 
@@ -79,3 +79,22 @@ def test_typed_rows(spark):
 def test_result_json_leaves_out_absent_fields(spark):
     df = spark.createDataFrame([(1, 0.5, ("x", None))], "id long, score double, doc struct<t:string,k:string>")
     assert json.loads(result_json(df).collect()[0].json) == {"id": 1, "score": 0.5, "doc": {"t": "x"}}
+
+
+TEXTS = [
+    '{"t":"a","n":1}', '{"t":"a","n":1.5,"b":true,"x":[1,{"y":2}]}', '{"t":null,"n":1}', '{"n":1}', '{"t":1,"n":1}', '{"t":"a","n":"1"}', '{"t":"a","n":true}',
+    '{"t":"a","n":1,"b":"true"}', '{"t":"a","n":1,"b":null}', '', ' ', '[]', '[{"t":"a","n":1}]', '1', 'null', '{"t":"a","n":1} x', '{"t":"a","n":1}{}', '{"t":"a","n":1},',
+    '\n\t {"t":"a","n":1}\r\n ', '{"t":"a","t":"b","n":1}', '{"t":"a","n":01}', '{"t":"a","n":NaN}', "{'t':'a','n':1}", '{"t":"a","n":1,}', '{"t":"ä\u00a0€😀","n":-0.0}',
+    '{"t":"a","n":12345678901234567890123}', '{"t":"a","n":1e5}', '{"t":"a","n":1E-7}', '{"t":"tab\tinside","n":1}', '{"T":"a","n":1}', '{"t":"","n":0}', '{t:"a","n":1}', '{"t":"a","n":+1}',
+    '{"t":"a","n":.5}', '{"t":"a","n":5.}', '{"t":"a" "n":1}', '{"t":"a","n":1', '{"t":{"z":1},"n":1}', '{"t":"a","n":[1]}', '{"t":"a\\nb","n":1}', '{"t":"a","n":1,"x":{"d":1,"d":2}}',
+]
+
+
+def test_the_driver_checks_like_the_executors(spark):
+    mapping = Mapping.of([("t", "Text"), ("n", "Number"), ("b", "Bool", False)])
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, json string")
+    got = {r.i: (r.doc and {k: v for k, v in r.doc.asDict().items() if v is not None}, r.error) for r in parse_documents(rows, mapping, "json", ("i",)).collect()}
+    assert {TEXTS[i]: got[i] for i in got} == {t: parse_document(t, mapping) for t in TEXTS}
+    for t in ('{"t":"\\ud800","n":1}', '{"t":"a","n":1e400}', '{"t":"\ud800","n":1}', "[" * 100_000):
+        with pytest.raises(Undecided):
+            parse_document(t, mapping)
