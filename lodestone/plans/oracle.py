@@ -207,3 +207,44 @@ SQL["p5_units"] = """WITH means AS (
 )
 SELECT source, unit AS unit_n_chars, 'char' AS unit_counted, round(residual, 6) AS residual, n_rows, second - residual > 0.02 AS is_unique
 FROM ranked WHERE place = 1"""
+
+SQL["delta_decode"] = _over(PRODUCTS, "SELECT field, token, row_number() OVER (PARTITION BY field, token ORDER BY doc_id) - 1 AS place, doc_id FROM posts")
+_BYTES = " || ".join(
+    f"CASE WHEN {k} = 0 OR delta >> {7 * k} > 0 THEN printf('%02X', (delta >> {7 * k}) % 128 + CASE WHEN delta >> {7 * k + 7} > 0 THEN 128 ELSE 0 END) ELSE '' END"
+    for k in range(8)
+)
+SQL["varint_deltas"] = f"SELECT field, token, doc_id, {_BYTES} AS encoded FROM ({SQL['delta_postings']})"
+SQL["block_locations"] = _over(PRODUCTS, """SELECT field AS section, block, block * 16 AS offset,
+CAST(lead(block * 16, 1, n) OVER (PARTITION BY field ORDER BY block) - block * 16 AS BIGINT) AS length
+FROM blocks JOIN (SELECT field, CAST(sum(n_tokens) AS BIGINT) AS n FROM blocks GROUP BY field) USING (field)""", _BLOCKS)
+
+_BODIES = "(SELECT log_pos, CASE WHEN json_valid(body) THEN body END AS body FROM ingest_log)"
+_WHOLE = "coalesce(json_type(body) = 'OBJECT', false)"
+
+
+def _kind(name: str, kind: str) -> str:
+    kinds = {"Text": "'VARCHAR'", "Keyword": "'VARCHAR'", "Bool": "'BOOLEAN'", "Number": "'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE'"}[kind]
+    return f"json_type(body, '$.{name}') IN ({kinds})"
+
+
+def _missing(name: str) -> str:
+    return f"coalesce(json_type(body, '$.{name}'), 'NULL') = 'NULL'"
+
+
+_FIELDS = {"title": "Text", "category": "Keyword", "organic": "Bool", "price": "Number"}
+_FIRST = " ".join(
+    f"""WHEN {_missing(n)} THEN 'key "{n}" not found' WHEN NOT {_kind(n, k)} THEN 'key "{n}" is not of type {k}'""" for n, k in _FIELDS.items()
+)
+SQL["json_rejects"] = f"""SELECT log_pos, error FROM (
+  SELECT log_pos, CASE WHEN NOT {_WHOLE} THEN 'the document is no JSON object' {_FIRST} END AS error FROM {_BODIES}
+) WHERE error IS NOT NULL"""
+_ALLOWED = " AND ".join(f"({_kind(n, k)} OR ({_missing(n)} AND NOT (SELECT required FROM mapping_fields WHERE field_name = '{n}')))" for n, k in _FIELDS.items())
+_VALUES = {"organic": "CAST(body ->> '$.organic' AS BOOLEAN)", "price": "CAST(body ->> '$.price' AS DOUBLE)"}
+SQL["json_documents"] = f"""SELECT log_pos, {", ".join(f"CASE WHEN ok THEN {_VALUES.get(n, f"body ->> '$.{n}'")} END AS {n}" for n in _FIELDS)}, NOT ok AS rejected
+FROM (SELECT log_pos, body, CASE WHEN NOT {_WHOLE} THEN false ELSE {_ALLOWED} END AS ok FROM {_BODIES})"""
+SQL["search_result_json"] = _search(PARTS, ["red widget"]).replace(
+    "SELECT query_id, doc_id, score, place FROM placed",
+    """SELECT format('{{"id":{},"score":{},"doc":{{"p_name":"{}","p_brand":"{}","p_type":"{}","p_size":{:.1f},"p_retailprice":{}}}}}',
+doc_id, CAST(score AS VARCHAR), p_name, p_brand, p_type, CAST(p_size AS DOUBLE), CAST(p_retailprice AS VARCHAR)) AS json
+FROM placed JOIN docs USING (doc_id)""",
+)

@@ -275,6 +275,28 @@ def delta_postings(spark, folder):
     return blocks.delta_postings(index.postings(_cells(spark, folder, PRODUCTS)))
 
 
+@query
+def delta_decode(spark, folder):
+    """Gaps, encoded as bytes and decoded again, added up to the documents of each term."""
+    entries = blocks.delta_entries(index.postings(_cells(spark, folder, PRODUCTS)))
+    read = entries.select("field", "token", "place", blocks.from_varint(blocks.varint(F.col("delta"))).alias("delta"))
+    return blocks.decode_postings(read)
+
+
+@query
+def varint_deltas(spark, folder):
+    deltas = blocks.delta_postings(index.postings(_cells(spark, folder, PRODUCTS)))
+    return deltas.select("field", "token", "doc_id", F.hex(blocks.varint(F.col("delta"))).alias("encoded"))
+
+
+@query
+def block_locations(spark, folder):
+    """Where each block of terms begins in its field, and how many terms it has, from the beginnings alone."""
+    found = blocks.token_blocks(index.postings(_cells(spark, folder, PRODUCTS)))
+    begins = found.select(F.col("field").alias("section"), "block", (F.col("block") * blocks.TOKENS_PER_BLOCK).alias("offset"))
+    return blocks.block_locations(begins, found.groupBy(F.col("field").alias("section")).agg(F.sum("n_tokens").alias("size")))
+
+
 @query
 def token_blocks(spark, folder):
     return blocks.token_blocks(index.postings(_cells(spark, folder, PRODUCTS)))
@@ -300,6 +322,14 @@ def json_documents(spark, folder):
     return parsed.select("log_pos", "doc.*", F.col("error").isNotNull().alias("rejected"))
 
 
+@query
+def json_rejects(spark, folder):
+    """Why documents of the log are refused where all fields are required: the first thing that is wrong with each."""
+    mapping = Mapping.of([("title", "Text"), ("category", "Keyword"), ("organic", "Bool"), ("price", "Number")])
+    parsed = parse_documents(_table(spark, folder, "ingest_log"), mapping, "body", ("log_pos",))
+    return parsed.where("error IS NOT NULL").select("log_pos", "error")
+
+
 # -- statistics of an index --------------------------------------------------------------------------------------------
 
 

@@ -152,3 +152,14 @@ def test_numbering(spark):
     got = ix.number_documents(rows, 10, ["a", "id"]).orderBy("a", "id").collect()
     assert [r.doc_id for r in got] == list(range(11, 1_011))
     assert ix.number_documents(rows.limit(0), 10, ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_terms_that_are_too_many_to_broadcast(spark, fuzzy):
+    """Joined by exchange, with a token that most documents have."""
+    docs = spark.createDataFrame([(i, (f"common word{i % 5}", None, None)) for i in range(300)], SCHEMA)
+    index = ix.build(docs, MAPPING)
+    queries = spark.createDataFrame([(1, "common"), (2, "common word3"), (3, "wrod3"), (4, "")], "query_id int, q string")
+    few, many = (se.search_batch(queries, index, fuzzy, "full", local_terms=n).collect() for n in (1_000, 0))
+    assert sorted(few) == sorted(many) and len(few) >= 160
+    assert se.literal_terms(spark, [(1, "Common WORD3-x"), (2, "")]).collect() == se.query_terms(spark.createDataFrame([(1, "Common WORD3-x"), (2, "")], "query_id int, q string")).collect()
