@@ -15,7 +15,7 @@ from lodestone.operators import layout as lay
 from lodestone.operators import search as se
 from lodestone.operators.documents import Undecided, parse_document, parse_documents, result_json, typed_documents
 from lodestone.operators.index import IndexTables
-from lodestone.sources.store import COMPACT_AT, LogPart, State, Store
+from lodestone.sources.store import COMPACT_AT, TABLES, LogPart, State, Store
 
 #: Up to this many documents of a list are checked and written by the driver, without a job.
 DRIVER_DOCS = 1_000
@@ -169,18 +169,24 @@ class Engine:
             self.store.flush(name, self.compact_at)
 
     def layout(self, name: str) -> dict[str, DataFrame]:
-        """Statistics of an index: summary, mapping, field_stats, entries, field_terms, top_tokens, segments, log."""
+        """Statistics of an index: summary, mapping, field_stats, entries, field_terms, top_tokens; of its segments, newest
+        first, the facts, the tables with their place and size, and the first anchors of terms and documents; the log."""
         state, index = self.store.state(name), self.tables(name)
-        sizes = [
-            (s, t, sum(n for p, n in self.store.files.sizes(f"{self.store.folder(name)}/{s}/{t}").items() if p.endswith(".parquet")))
-            for s in reversed(state.segments)
-            for t in ("docs", "postings", "field_stats", "trigrams", "grams")
-        ]
+        base = self.store.folder(name)
+        newest, sizes = tuple(reversed(state.segments)), []
+        for s in newest:
+            end = 0
+            for t in TABLES:
+                found = [n for p, n in self.store.files.sizes(f"{base}/{s}/{t}").items() if p.endswith(".parquet")]
+                sizes.append((s, t, len(found), end, end := end + sum(found), sum(found)))
         log_size = sum(sum(self.store.files.sizes(f"{self.store.folder(name)}/{p.path}" + (".json" if p.kind == "json" else "")).values()) for p in state.log)
         logged = self.store.read_log(name, state)
         create = self.spark.createDataFrame
+        facts = [(s, state.sizes[s], sum(x[-1] for x in sizes if x[0] == s)) for s in newest]
+        last = lay.last_documents({s: self.spark.read.schema("doc_id bigint").parquet(f"{base}/{s}/docs") for s in newest}, self.spark)
+        facts = create(facts, "segment string, documents bigint, bytes bigint").join(last, "segment", "left").orderBy(F.col("segment").desc())
         summary = [
-            ("segments", len(state.segments)), ("segment_bytes", sum(x[2] for x in sizes)), ("log_bytes", log_size),
+            ("segments", len(state.segments)), ("segment_bytes", sum(x[-1] for x in sizes)), ("log_bytes", log_size),
             ("max_doc_id", state.max_doc_id), ("fields", len(state.mapping.fields)),
         ]
         counts = index.docs.agg(F.lit("documents").alias("name"), F.count("*").alias("value")).unionByName(
@@ -193,6 +199,9 @@ class Engine:
             "entries": lay.entry_counts(index),
             "field_terms": lay.field_terms(index.postings),
             "top_tokens": lay.top_tokens(index.postings),
-            "segments": create(sizes, "segment string, table string, bytes bigint"),
+            "segments": facts,
+            "segment_tables": create(sizes, "segment string, table string, files int, start bigint, end bigint, bytes bigint"),
+            "term_anchors": lay.term_anchors({s: self.spark.read.parquet(f"{base}/{s}/postings") for s in newest}, self.spark),
+            "doc_anchors": lay.doc_anchors({s: self.spark.read.schema("doc_id bigint").parquet(f"{base}/{s}/docs") for s in newest}, self.spark),
             "log": logged.orderBy(F.col("doc_id").desc()).limit(3),
         }

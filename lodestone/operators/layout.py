@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lodestone.operators.blocks import DOCS_PER_BLOCK, TOKENS_PER_BLOCK
 from lodestone.operators.index import IndexTables, document_frequency
 
-TOP_TOKENS = 15
+TOP_TOKENS, ANCHORS = 15, 10
 #: Bytes that one entry of the length statistics takes in memory, for the estimate of the page (fixed value).
 STAT_BYTES = 56
 
@@ -51,3 +55,37 @@ def field_terms(postings: DataFrame) -> DataFrame:
 def top_tokens(postings: DataFrame, limit: int = TOP_TOKENS) -> DataFrame:
     """The terms in most documents; ties by field, then token."""
     return document_frequency(postings).orderBy(F.col("df").desc(), "field", "token").limit(limit)
+
+
+def _of_all(parts: dict[str, DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    named = [df.select(F.lit(s).alias("segment"), "*") for s, df in parts.items()]
+    return reduce(DataFrame.unionByName, named) if named else spark.createDataFrame([], f"segment string, {schema}")
+
+
+def last_documents(docs: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
+    """``(segment, max_doc_id)``."""
+    return _of_all({s: df.agg(F.max("doc_id").alias("max_doc_id")) for s, df in docs.items()}, spark, "max_doc_id bigint")
+
+
+def term_anchors(postings: dict[str, DataFrame], spark: SparkSession, anchors: int = ANCHORS) -> DataFrame:
+    """``(segment, block, field, token)``: where the first blocks of each segment's sorted terms begin."""
+    first = F.row_number().over(Window.partitionBy("one").orderBy("field", "token")) - 1  # over so many terms only
+
+    def of(df: DataFrame) -> DataFrame:
+        few = df.select("field", "token").distinct().orderBy("field", "token").limit(anchors * TOKENS_PER_BLOCK)
+        placed = few.withColumn("one", F.lit(1)).withColumn("at", first).where(F.col("at") % TOKENS_PER_BLOCK == 0)
+        return placed.select((F.col("at") / TOKENS_PER_BLOCK).cast("int").alias("block"), "field", "token")
+
+    return _of_all({s: of(df) for s, df in postings.items()}, spark, "block int, field string, token string")
+
+
+def doc_anchors(docs: dict[str, DataFrame], spark: SparkSession, anchors: int = ANCHORS) -> DataFrame:
+    """``(segment, block, doc_id)``: where the first blocks of each segment's documents begin."""
+    first = F.row_number().over(Window.partitionBy("one").orderBy("doc_id")) - 1
+
+    def of(df: DataFrame) -> DataFrame:
+        few = df.select("doc_id").orderBy("doc_id").limit(anchors * DOCS_PER_BLOCK)
+        placed = few.withColumn("one", F.lit(1)).withColumn("at", first).where(F.col("at") % DOCS_PER_BLOCK == 0)
+        return placed.select((F.col("at") / DOCS_PER_BLOCK).cast("int").alias("block"), "doc_id")
+
+    return _of_all({s: of(df) for s, df in docs.items()}, spark, "block int, doc_id bigint")

@@ -248,3 +248,7 @@ SQL["search_result_json"] = _search(PARTS, ["red widget"]).replace(
 doc_id, CAST(score AS VARCHAR), p_name, p_brand, p_type, CAST(p_size AS DOUBLE), CAST(p_retailprice AS VARCHAR)) AS json
 FROM placed JOIN docs USING (doc_id)""",
 )
+SQL["layout_anchors"] = """SELECT CAST(segment_id AS VARCHAR) AS segment, CAST(place // 16 AS INTEGER) AS block, field, token FROM (
+  SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY field, token) - 1 AS place
+  FROM (SELECT DISTINCT segment_id, field, token FROM postings WHERE token IS NOT NULL AND segment_id IS NOT NULL)
+) WHERE place % 16 = 0 AND place < 160"""

@@ -8,6 +8,7 @@ from urllib.parse import parse_qs, unquote, urlsplit
 
 from lodestone.engine import Engine
 from lodestone.errors import EngineError, ParseError
+from lodestone.page import page
 
 PORT = 3333
 
@@ -30,7 +31,8 @@ def answer(engine: Engine, method: str, target: str, body: str = "") -> tuple[in
                 fuzzy = query.get("fuzzy", ["false"])[0].lower() == "true"
                 return 200, engine.search_json(name, query.get("q", [""])[0], fuzzy)
             case ("GET", ["indexes", name, "_layout"]):
-                return 200, json.dumps({k: [r.asDict(True) for r in v.collect()] for k, v in engine.layout(name).items()})
+                tables = {k: [r.asDict(True) for r in v.collect()] for k, v in engine.layout(name).items()}
+                return 200, json.dumps(tables) if query.get("format") == ["json"] else page(name, tables)
             case ("POST", ["flush-state"]):
                 engine.flush()
                 return 200, json.dumps({"status": "flushed"})
@@ -50,7 +52,8 @@ def serve(engine: Engine, port: int = PORT) -> ThreadingHTTPServer:
             status, text = answer(engine, self.command, self.path, body)
             data = text.encode("utf-8")
             self.send_response(status)
-            self.send_header("Content-Type", "application/json" if status == 200 else "text/plain; charset=utf-8")
+            kind = "text/plain" if status != 200 else "text/html" if text.startswith("<!doctype") else "application/json"
+            self.send_header("Content-Type", f"{kind}; charset=utf-8")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)

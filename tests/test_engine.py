@@ -11,6 +11,7 @@ import pytest
 
 from lodestone.engine import Engine
 from lodestone.errors import FileError, ParseError, SearchError, ValidationError
+from lodestone.page import count, escaped, page, shortened, size
 from lodestone.server import answer, serve
 from lodestone.sources.generator import products
 from lodestone.sources.store import to_merge
@@ -144,7 +145,19 @@ def test_layout(engine):
     assert {(r.field, r.docs, r.total_tokens) for r in page["field_stats"].collect()} == {("some_text", 3, 14), ("other_field", 3, 3), (None, 6, 17)}
     assert page["top_tokens"].first()["token"] == "in" and page["mapping"].count() == 2 and page["log"].count() == 3
     engine.flush()
-    assert engine.layout("i")["segments"].where("bytes > 0").count() == 5
+    page = engine.layout("i")
+    assert page["segment_tables"].where("bytes > 0 AND end - start = bytes AND files > 0").count() == 5
+    assert [(r.documents, r.max_doc_id, r.bytes > 0) for r in page["segments"].collect()] == [(3, 3, True)]
+    assert [(r.block, r.field, r.token) for r in page["term_anchors"].collect()] == [(0, "other_field", "apple")]
+    assert [(r.block, r.doc_id) for r in page["doc_anchors"].collect()] == [(0, 1)]
+
+
+def test_shown_values():
+    assert [size(n) for n in (0, 1_023, 1_024, 1_536, 5 << 20, 3 << 40)] == ["0 B", "1023 B", "1.00 KB", "1.50 KB", "5.00 MB", "3072.00 GB"]
+    assert (count(1_234_567), count(-1_000), count(7)) == ("1,234,567", "-1,000", "7")
+    assert escaped("<a href='x'>&\"") == "&lt;a href=&#x27;x&#x27;&gt;&amp;&quot;"
+    assert shortened("x" * 220) == "x" * 220 and shortened("x" * 221) == "x" * 217 + "..."
+    assert "&lt;b&gt;" in page("i", {"t": [{"a": "<b>", "bytes": 2_048}], "none": []}) and "2.00 KB" in page("i", {"t": [{"bytes": 2_048}]})
 
 
 def test_typed_frames_and_generated_products(spark, engine):
@@ -197,7 +210,8 @@ def test_http(engine):
         assert result["id"] == 1 and result["doc"] == {"t": "Hello World"}
     httpd.shutdown()
     status, text = answer(engine, "GET", "/indexes/h/_layout")
-    assert status == 200 and "hello" in text
+    assert status == 200 and "hello" in text and text.startswith("<!doctype html>")
+    assert json.loads(answer(engine, "GET", "/indexes/h/_layout?format=json")[1])["top_tokens"][0]["token"] == "hello"
 
 
 def test_the_subpackage_for_text_is_not_needed():
