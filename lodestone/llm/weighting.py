@@ -70,7 +70,7 @@ def with_term_statistics(postings: DataFrame, heavy_parts: int | None = None) ->
 
     tf = F.col("tf").cast("double")
     measures = [
-        F.count(F.lit(1)).alias("df"),
+        F.count("tf").alias("df"),  # not of rows: all who read the exchange have to need the same columns of it
         F.sum(F.col("tf").cast("bigint")).alias("total"),
         F.sum(F.when(tf > 0, tf * F.log2(tf)).otherwise(0.0)).alias("tf_log_tf"),
     ]
