@@ -147,8 +147,8 @@ def _patterns(units: tuple[str, ...] = ()) -> SimpleNamespace:
     )
 
 
-#: Texts of which a title that states a number of pieces only has one.
-_PACKS = ("er", "pack", "count", "box", "set", "lot", "boîte", "carton", "paquet", "x")
+#: What a title has that states a number of pieces; quicker to find than the whole pattern.
+_PACKS = r"\d(?:er|-)|x\d|(?:of|de) \d"
 #: Units of the table of factors; a table has a few dozen.
 UNITS = 10_000
 #: Log residual of a reading that breaks its own style: more than any that prices give.
@@ -180,8 +180,8 @@ def _without_noise(rows: DataFrame, tidy: list) -> DataFrame:
 
 
 def _title_rows(titles: DataFrame, feeds: DataFrame) -> DataFrame:
-    """``(doc_id, price, default_unit, mark, role, styled, odd)``: the current title of each document (``role`` 0) in each
-    style that its feed leaves open, and if that is more than one, also the first title that the document had (1)."""
+    """``(doc_id, price, default_unit, open, mark, role, styled, odd)``: the current title of each document (``role`` 0) in each
+    style that its feed leaves open, and if that is more than one (``open``), also the first title that it had (1)."""
     states = [
         F.max(F.struct("arrived_at", "title", "feed_id", "price")).alias("s"), F.min(F.struct("arrived_at", "title")).alias("w")
     ]
@@ -198,19 +198,19 @@ def _title_rows(titles: DataFrame, feeds: DataFrame) -> DataFrame:
 
     both = F.col("open") & (F.col("first") != F.col("title"))
     shown = F.when(both, F.array(role("title", 0), role("first", 1))).otherwise(F.array(role("title", 0)))
-    rows = known.select("doc_id", "price", "default_unit", "spaced", "mark", F.inline(shown))
-    rows = rows.select("doc_id", "price", "default_unit", "spaced", "mark", "role", _plain(F.col("title")).alias("plain")).where("plain <> ''")
+    rows = known.select("doc_id", "price", "default_unit", "open", "spaced", "mark", F.inline(shown))
+    rows = rows.select("doc_id", "price", "default_unit", "open", "spaced", "mark", "role", _plain(F.col("title")).alias("plain")).where("plain <> ''")
     plain, mark = F.col("plain"), F.col("mark")
     styled = F.when(F.col("spaced"), _styled(plain, mark, True)).otherwise(_styled(plain, mark, False))
     # A decimal mark of the other style makes a reading doubtful; it stays if there is no better one.
     odd = F.when(mark == ",", plain.rlike(r"\d\.(?!\d{3}(?!\d))\d")).otherwise(plain.rlike(r"\d,(?!\d{3}(?!\d))\d"))
-    return rows.select("doc_id", "price", "default_unit", "mark", "role", styled.alias("styled"), odd.alias("odd"))
+    return rows.select("doc_id", "price", "default_unit", "open", "mark", "role", styled.alias("styled"), odd.alias("odd"))
 
 
 def _readings(rows: DataFrame, factors: DataFrame, known: SimpleNamespace) -> DataFrame:
     """All readings of ``rows`` (see :func:`_title_rows`): ``rank``, the place in the order of precedence, ``exact``, the
     content of the package in base units, and ``expected``, what the price of a unit in the title lets expect."""
-    keys = ["doc_id", "price", "default_unit", "mark", "role", "odd", "styled"]
+    keys = ["doc_id", "price", "default_unit", "open", "mark", "role", "odd", "styled"]
 
     def ended(columns: list[str], **more: Column) -> list[Column]:
         # One generated row ends the code of a step; in one piece it would be too long for the JVM to compile.
@@ -227,9 +227,9 @@ def _readings(rows: DataFrame, factors: DataFrame, known: SimpleNamespace) -> Da
     read = read.withColumns(
         {
             "pair": matched(known.sum, (F.col("single") != "") & (text.contains("lb") | text.contains("pound"))),
-            "pack": matched(known.pack, digit & reduce(or_, map(text.contains, _PACKS))),
-            "equal": matched(known.equal, digit & F.col("styled").contains("="), "styled"),
-            "per": matched(known.rate, digit & F.col("styled").rlike(r"[/€$£]|le |la |per |pro "), "styled"),
+            "pack": matched(known.pack, digit & text.rlike(_PACKS)),
+            "equal": matched(known.equal, F.col("open"), "styled"),  # elsewhere the price decides nothing
+            "per": matched(known.rate, F.col("open"), "styled"),
         }
     )
     # Only a title that names no unit is read in the unit of its feed.
