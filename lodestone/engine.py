@@ -184,6 +184,7 @@ class Engine:
         create = self.spark.createDataFrame
         facts = [(s, state.sizes[s], sum(x[-1] for x in sizes if x[0] == s)) for s in newest]
         last = lay.last_documents({s: self.spark.read.schema("doc_id bigint").parquet(f"{base}/{s}/docs") for s in newest}, self.spark)
+        terms = lay.segment_terms({s: self.spark.read.parquet(f"{base}/{s}/postings") for s in newest}, self.spark)
         facts = create(facts, "segment string, documents bigint, bytes bigint").join(last, "segment", "left").orderBy(F.col("segment").desc())
         summary = [
             ("segments", len(state.segments)), ("segment_bytes", sum(x[-1] for x in sizes)), ("log_bytes", log_size),
@@ -201,7 +202,7 @@ class Engine:
             "top_tokens": lay.top_tokens(index.postings),
             "segments": facts,
             "segment_tables": create(sizes, "segment string, table string, files int, start bigint, end bigint, bytes bigint"),
-            "term_anchors": lay.term_anchors({s: self.spark.read.parquet(f"{base}/{s}/postings") for s in newest}, self.spark),
+            "term_anchors": lay.term_anchors(terms).orderBy(F.col("segment").desc(), "block"),
             "doc_anchors": lay.doc_anchors({s: self.spark.read.schema("doc_id bigint").parquet(f"{base}/{s}/docs") for s in newest}, self.spark),
             "log": logged.orderBy(F.col("doc_id").desc()).limit(3),
         }

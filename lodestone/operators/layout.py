@@ -67,16 +67,21 @@ def last_documents(docs: dict[str, DataFrame], spark: SparkSession) -> DataFrame
     return _of_all({s: df.agg(F.max("doc_id").alias("max_doc_id")) for s, df in docs.items()}, spark, "max_doc_id bigint")
 
 
-def term_anchors(postings: dict[str, DataFrame], spark: SparkSession, anchors: int = ANCHORS) -> DataFrame:
-    """``(segment, block, field, token)``: where the first blocks of each segment's sorted terms begin."""
-    first = F.row_number().over(Window.partitionBy("one").orderBy("field", "token")) - 1  # over so many terms only
-
-    def of(df: DataFrame) -> DataFrame:
-        few = df.select("field", "token").distinct().orderBy("field", "token").limit(anchors * TOKENS_PER_BLOCK)
-        placed = few.withColumn("one", F.lit(1)).withColumn("at", first).where(F.col("at") % TOKENS_PER_BLOCK == 0)
-        return placed.select((F.col("at") / TOKENS_PER_BLOCK).cast("int").alias("block"), "field", "token")
-
-    return _of_all({s: of(df) for s, df in postings.items()}, spark, "block int, field string, token string")
+def segment_terms(postings: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
+    """``(segment, field, token)`` of the postings of a few segments that are stored apart."""
+    return _of_all({s: df.select("field", "token") for s, df in postings.items()}, spark, "field string, token string")
+
+
+def term_anchors(postings: DataFrame, anchors: int = ANCHORS) -> DataFrame:
+    """``(segment, block, field, token)`` of ``postings(segment, field, token)``: where the first blocks of each segment's
+    sorted terms begin.  The plan is the same for any number of segments; each task keeps only the terms of those blocks
+    before the rows of a segment meet, so a large segment does not fill one task."""
+    in_order = Window.partitionBy("segment").orderBy(F.asc_nulls_last("field"), "token")
+    placed = postings.select("segment", "field", "token").distinct().withColumn("at", F.row_number().over(in_order))
+    begins = placed.where((F.col("at") <= anchors * TOKENS_PER_BLOCK) & ((F.col("at") - 1) % TOKENS_PER_BLOCK == 0))
+    return begins.select(
+        F.col("segment").cast("string").alias("segment"), ((F.col("at") - 1) / TOKENS_PER_BLOCK).cast("int").alias("block"), "field", "token"
+    )
 
 
 def doc_anchors(docs: dict[str, DataFrame], spark: SparkSession, anchors: int = ANCHORS) -> DataFrame:

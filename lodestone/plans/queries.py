@@ -356,9 +356,8 @@ def layout_top_tokens(spark, folder):
 @query
 def layout_anchors(spark, folder):
     """The first blocks of terms of each stored segment."""
-    rows = _table(spark, folder, "postings").where("token IS NOT NULL")
-    segments = [r[0] for r in rows.select("segment_id").distinct().orderBy("segment_id").collect() if r[0] is not None]  # a few
-    return layout.term_anchors({str(n): rows.where(F.col("segment_id") == n) for n in segments}, spark)
+    rows = _table(spark, folder, "postings").where("token IS NOT NULL AND segment_id IS NOT NULL")
+    return layout.term_anchors(rows.withColumnRenamed("segment_id", "segment"))
 
 
 # -- operations on large collections -----------------------------------------------------------------------------------
